@@ -18,10 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, map_arrow, text_rows
-from .textnum import U, ngram_hashes, runs, word_hashes
+from .textnum import PLAIN, U, mix, ngram_hashes, runs, word_hashes
 
-#: Letters, digits and bytes beyond ASCII stay, lower-cased; all else is a gap.
-PLAIN = bytes(c + 32 if 65 <= c < 91 else c if 48 <= c < 58 or 97 <= c < 123 or c > 127 else 32 for c in range(256))
 #: Words of all items that a worker may be sent, 16 bytes each; more items are matched in several scans.
 MOST_WORDS = 4_000_000
 
@@ -129,8 +127,6 @@ def _exact(w: np.ndarray, size: int, n: int) -> np.ndarray:
     h = np.full(len(w) - size + 1, U(size if size < n else 0))
     for i in range(size):
         h = h * U(0x9DDFEA08EB382D69) + w[i : i + len(h)]
-    from .textnum import mix
-
     return mix(h)
 
 

@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, mixture, ordinal_quality, token_output
+from . import decontaminate, divergence_rules, jaccard_join, licenses, mixture, ordinal_quality, secrets, token_output
 from .common import load
 
 
+def op3_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = divergence_rules.judge(load(spark, sf_dir, "documents"))
+    return judged.drop("char_distance", "word_distance")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(load(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return ordinal_quality.score_documents(docs, ordinal_quality.train(docs, load(spark, sf_dir, "labels")))
@@ -29,12 +38,16 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(load(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(load(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_decontaminate, op6_quality_classifier, op7_mixture, op8_token_output, op10_jaccard_join)
+    f.__name__: f for f in (op3_divergence_rules, op4_decontaminate, op5_secrets, op6_quality_classifier, op7_mixture, op8_token_output, op9_licenses, op10_jaccard_join)
 }
 
 OP7_SQL = r"""
@@ -69,6 +82,59 @@ from sizes s join room r on s.source is not distinct from r.source
 join extra e on s.source is not distinct from e.source and s.k = e.k and s.size = e.size
 """
 
+def _lists(words: dict[str, list[str]]) -> str:
+    return " ".join(f"when '{lang}' then [{', '.join(repr(w) for w in some)}]" for lang, some in words.items())
+
+
+OP3_SQL = r"""
+with texts as (
+  select row_number() over () as r, doc_id, lang, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+places as (select r, unnest(range(1, len(w) - 6)) as i, w from texts where len(w) >= 8),
+hit as (
+  select r, i from (select r, i, count(*) over (partition by r, array_to_string(w[i : i + 7], ' ')) as c from places) where c > 1),
+again as (select r, count(distinct p) as n from (select r, unnest(range(i, i + 8)) as p from hit) group by r),
+lines as (select r, count(*) - count(distinct x) as n from (select r, unnest(string_split(text, chr(10))) as x from texts) where regexp_matches(x, '[^\x20\x09-\x0D]') group by r),
+base as (
+  select t.r, doc_id, lang, len(w) as n_words, array_to_string(w, '') as solid, w,
+    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as n_symbols, coalesce(l.n, 0) as n_dup_lines, coalesce(a.n, 0) as n_repeat_words,
+    case lang LISTS end as common
+  from texts t left join again a using (r) left join lines l using (r)),
+counted as materialized (
+  select *, length(solid) as word_chars, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+    [KINDS] as five, list_transform(common, lambda c: len(list_filter(w, lambda x: x = c))) as nums
+  from base),
+bins as materialized (
+  select * exclude (five, nums, w, solid), list_append(five, word_chars - list_sum(five)) as kinds, list_append(nums, n_words - list_sum(nums)) as commons from counted),
+pool as (select lang, [sum(kinds[1]), KSUM] as k, [sum(commons[1]), CSUM] as c from bins where common is not null and not base_failed group by lang),
+d1 as (
+  select b.*, case when word_chars >= 100 then DIST(b.kinds, f.k) end as dk, case when n_words >= 60 then DIST(b.commons, f.c) end as dc
+  from bins b left join pool f using (lang)),
+pool2 as (
+  select lang, [sum(kinds[1]), KSUM] as k, [sum(commons[1]), CSUM] as c from d1
+  where common is not null and not base_failed and coalesce(dk, 0) <= 0.2 and coalesce(dc, 0) <= 0.33 group by lang),
+d2 as (
+  select b.*, case when word_chars >= 100 then DIST(b.kinds, f.k) end as dk, case when n_words >= 60 then DIST(b.commons, f.c) end as dc
+  from bins b left join pool2 f using (lang))
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines,
+  n_repeat_words::bigint as n_repeat_words, base_failed, not base_failed and coalesce(dk, 0) <= 0.2 and coalesce(dc, 0) <= 0.33 as kept
+from d2
+"""
+
+
+def _op3_sql() -> str:
+    import re
+
+    kinds = ", ".join("length(regexp_replace(solid, '[^{}]+', '', 'g'))".format(k.replace("'", "''")) for k in divergence_rules.KINDS)
+    sums = {"KSUM": ("kinds", len(divergence_rules.KINDS) + 1), "CSUM": ("commons", divergence_rules.BINS + 1)}
+    sql = OP3_SQL.replace("LISTS", _lists(divergence_rules.COMMON)).replace("[KINDS]", f"[{kinds}]")
+    for name, (c, n) in sums.items():
+        sql = sql.replace(name, ", ".join(f"sum({c}[{i}])" for i in range(2, n + 1)))
+    share = "case when {0} > 0 then {0} * log2(2 * {0} / ({0} + {1})) else 0 end"
+    p, q = "(z[1] / list_sum({0})::double)", "(z[2] / list_sum({1})::double)"
+    body = f"{share.format(p, q)} + {share.format(q, p)}"
+    return re.sub(r"DIST\(([\w.]+), ([\w.]+)\)", lambda m: f"sqrt(greatest(list_sum(list_transform(list_zip({m[1]}, {m[2]}), lambda z: {body.format(m[1], m[2])})) / 2, 0))", sql)
+
+
 OP10_SQL = r"""
 with recursive words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
@@ -91,4 +157,4 @@ from documents d left join n using (doc_id)
 left join (select doc_id, min(label) as label from reach group by doc_id) r using (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_mixture": OP7_SQL, "op10_jaccard_join": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_divergence_rules": _op3_sql(), "op7_mixture": OP7_SQL, "op10_jaccard_join": OP10_SQL}
