@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, divergence_rules, jaccard_join, licenses, mixture, ordinal_quality, secrets, token_output
+from . import decontaminate, divergence_rules, jaccard_join, licenses, mixture, ordinal_quality, secrets, token_output, toxicity
 from .common import load
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, *toxicity.train(docs, load(spark, sf_dir, "labels")))
+
+
 def op3_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = divergence_rules.judge(load(spark, sf_dir, "documents"))
     return judged.drop("char_distance", "word_distance")
@@ -47,7 +52,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_divergence_rules, op4_decontaminate, op5_secrets, op6_quality_classifier, op7_mixture, op8_token_output, op9_licenses, op10_jaccard_join)
+    f.__name__: f for f in (op2_toxicity, op3_divergence_rules, op4_decontaminate, op5_secrets, op6_quality_classifier, op7_mixture, op8_token_output, op9_licenses, op10_jaccard_join)
 }
 
 OP7_SQL = r"""
