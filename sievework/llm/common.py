@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Most rows that any operator here broadcasts as ids; beyond it the same join is shuffled.
 BROADCAST_ROWS = 2_000_000
+#: Rows of an Arrow batch, at most; texts may be long.
+BATCH_ROWS = 512
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,8 +64,21 @@ def text_rows(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow in batches small enough for a few Python workers beside a JVM; a worker gives memory back when a task ends."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(run, schema)
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:

@@ -158,4 +158,4 @@ def keep_documents(docs: DataFrame, model: OrdinalModel | None, min_tail: float
             _, p = scores([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()], model)
             yield b.filter(pa.array(p >= min_tail))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return map_arrow(docs, rows, docs.schema)
