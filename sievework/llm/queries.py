@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, divergence_rules, jaccard_join, licenses, mixture, ordinal_quality, secrets, token_output, toxicity
+from . import decontaminate, divergence_rules, jaccard_join, licenses, mixture, ordinal_quality, secrets, substring_dedup, token_output, toxicity
 from .common import load
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(load(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, *toxicity.train(docs, load(spark, sf_dir, "labels")))
@@ -52,7 +56,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_toxicity, op3_divergence_rules, op4_decontaminate, op5_secrets, op6_quality_classifier, op7_mixture, op8_token_output, op9_licenses, op10_jaccard_join)
+    f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_divergence_rules, op4_decontaminate, op5_secrets, op6_quality_classifier, op7_mixture, op8_token_output, op9_licenses, op10_jaccard_join)
 }
 
 OP7_SQL = r"""
