@@ -61,7 +61,8 @@ def super_windows(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, n
     key = np.minimum(key[:n], key[wide - span : wide - span + n])
     at = (key & ((U(1) << bits) - U(1))).astype(np.int64)
     first, count = runs(at)
-    return h[at[first]], first, count
+    # minimizers are small by choice: mixed again, they spread over all ranges
+    return mix(h[at[first]] ^ U(0x5851F42D4C957F2D)), first, count
 
 
 def _keys(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
