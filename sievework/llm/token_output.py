@@ -5,8 +5,8 @@ partition and its place there, and where its ids begin within that partition. Sh
 stands alone; Spark's committer publishes each task's files once, whichever attempt wins. Any document is decoded from its shard's rules
 and its own symbols.
 
-Text is cut at ASCII white space before encoding, which the tokenizer drops anyway and across which it merges nothing; each
-distinct piece is encoded once a task, with add_special_tokens=False.
+Text is cut at ASCII white space before encoding, which the tokenizer drops anyway and across which it merges nothing, and signs are cut off words as
+it does; each distinct piece is encoded once a worker, with add_special_tokens=False, and looked up by hash and length from then on.
 
 Defined results: null and empty texts are the end id alone; null doc_ids come first; rows that repeat a doc_id stand side by
 side in no stated order; an empty table has no rows; extra columns are not read.
@@ -14,6 +14,7 @@ side in no stated order; an empty table has no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import functools
 import uuid
 import zlib
 
@@ -25,40 +26,157 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, batch, map_arrow, partitions, shared_dir, stage, text_rows, unstage
 from .grammar import Shard, compress
+from .textnum import U, mix, prefix_sums, runs, word_spans
 
 SHARD_IDS = 1_000_000
 END = 1
-#: Pieces that a task remembers; then it forgets all and goes on.
-PIECES = 400_000
-
-
-class Encoder(dict):
-    """Piece -> its ids as little-endian uint32."""
+#: Distinct pieces that a worker remembers; then it forgets all and goes on.
+PIECES = 1_000_000
+#: New pieces that are kept apart until they are sorted in with the others.
+RECENT = 50_000
+#: Letters-only pieces that are encoded as one text.
+JOINED = 2_000
+#: Bytes of texts that are encoded together.
+CHUNK = 1 << 20
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def pieces(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where pieces of a text begin and end: what stands between white space, and of that the ASCII signs after the last ASCII letter or
+    digit apart, which the tokenizer splits off as well."""
+    s, e = word_spans(b)
+    at = np.arange(len(b))
+    core = np.maximum.accumulate(np.where(ALNUM[b], at, -1))[e - 1] + 1
+    wide = np.maximum.accumulate(np.where(b > 127, at, -1))[e - 1] + 1
+    tail = (core > s) & (core < e) & (wide < core)
+    where = np.cumsum(1 + tail)
+    starts, ends = np.empty(where[-1] if len(where) else 0, np.int64), np.empty(where[-1] if len(where) else 0, np.int64)
+    first = where - 1 - tail
+    starts[first], ends[first] = s, np.where(tail, core, e)
+    starts[first[tail] + 1], ends[first[tail] + 1] = core[tail], e[tail]
+    return starts, ends
+
+
+class Encoder:
+    """Encodes texts piece by piece. Ids of known pieces are looked up by a 64-bit hash and the length; new ones go to the tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        if len(self) > PIECES:
-            self.clear()
-        new = list({w for t in texts for w in t if w not in self})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[bytes], end: int = END) -> list[bytes]:
-        split = [t.split() for t in texts]
-        out = []
-        stop = np.array([end], "<u4").tobytes()
-        for i in range(0, len(split), 256):
-            self.learn(split[i : i + 256])
-            out += [b"".join(map(self.__getitem__, w)) + stop for w in split[i : i + 256]]
+        table = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(table.values()) + 1, bool)
+        self.ends[[i for t, i in table.items() if t.endswith("</w>")]] = True
+        # what the shortcuts rest on; another tokenizer gets whole stretches between white space, in their own case
+        self.shares = self._ids("Ab,! ") == self._ids("ab") + self._ids(",!") and self._ids("a b") == self._ids("a") + self._ids("b")
+        self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = (np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))  # hash, length, offset, ids
+        self.recent = self.known
+        self.ids = np.empty(0, self.kind)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _plain(self, words: list[bytes]) -> list[np.ndarray] | None:
+        """Ids of letters-only words, encoded as one text and cut where words end; None if they don't come apart so."""
+        ids = np.array(self._ids(b" ".join(words).decode()), self.kind)
+        cut = np.flatnonzero(self.ends[ids]) + 1
+        return np.split(ids, cut[:-1]) if len(cut) == len(words) and cut[-1] == len(ids) else None
+
+    def _new(self, words: list[bytes]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(words)
+        letters = [i for i, w in enumerate(words) if w.isalpha() or not w.isascii() and w.decode().isalpha()] if self.shares and self.ends.any() else []
+        for i in range(0, len(letters), JOINED):
+            some = letters[i : i + JOINED]
+            for k, x in zip(some, self._plain([words[k] for k in some]) or ()):
+                out[k] = x
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i in range(0, len(rest), 20_000):
+            some = rest[i : i + 20_000]
+            for k, e in zip(some, self.tokenizer.encode_batch_fast([words[k].decode() for k in some], add_special_tokens=False)):
+                out[k] = np.array(e.ids, self.kind)
         return out
 
+    @staticmethod
+    def _find(table, hashes, lengths) -> np.ndarray:
+        """Index in table, -1 where there is none."""
+        if not len(table[0]):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(table[0], hashes), len(table[0]) - 1)
+        return np.where((table[0][at] == hashes) & (table[1][at] == lengths), at, -1)
+
+    def _merge(self, a, b):
+        both = [np.concatenate(x) for x in zip(a, b)]
+        order = np.argsort(both[0], kind="stable")
+        return tuple(x[order] for x in both)
+
+    def _chunk(self, texts: list[bytes]) -> list[np.ndarray]:
+        raw = b" ".join(texts) + b" "
+        bounds = np.cumsum([len(t) + 1 for t in texts])
+        b = np.frombuffer(raw, np.uint8)
+        s, e = pieces(b) if self.shares else word_spans(b)
+        c, power = prefix_sums(b)
+        h, size = mix((c[e] - c[s]) * power[np.maximum(e, 1) - 1]), e - s
+        order = np.argsort(h)
+        first, count = runs(h[order])
+        one = order[first]
+        u, length = h[one], size[one]
+        place, amount = np.empty(len(u), np.int64), np.empty(len(u), np.int64)
+        todo = np.ones(len(u), bool)
+        for table in (self.known, self.recent):
+            at = self._find(table, u, length)
+            hit = at >= 0
+            place[hit], amount[hit] = table[2][at[hit]], table[3][at[hit]]
+            todo &= ~hit
+        todo = np.flatnonzero(todo)
+        if len(todo):
+            fresh = self._new([raw[i:j] for i, j in zip(s[one[todo]].tolist(), e[one[todo]].tolist())])
+            amount[todo] = [len(x) for x in fresh]
+            place[todo] = len(self.ids) + np.cumsum(amount[todo]) - amount[todo]
+            self.ids = np.concatenate((self.ids, *fresh))
+            self.recent = self._merge(self.recent, (u[todo], length[todo], place[todo], amount[todo]))
+            if len(self.recent[0]) > RECENT:
+                self.known, self.recent = self._merge(self.known, self.recent), tuple(x[:0] for x in self.recent)
+        which = np.empty(len(h), np.int64)
+        which[order] = np.repeat(np.arange(len(u)), count)
+        n = amount[which]
+        upto = np.cumsum(n)
+        ids = self.ids[np.repeat(place[which] - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)]
+        cut = np.concatenate(([0], upto))[np.searchsorted(s, bounds)]
+        if len(self.known[0]) > PIECES:
+            self.forget()
+        return np.split(ids, cut[:-1])
+
+    def encode(self, texts: list[bytes], end: int = END) -> list[np.ndarray]:
+        # special tokens have signs in them: texts that may hold one are encoded as they are
+        out: list[np.ndarray] = [np.array(self._ids(t.decode()), self.kind) if b"<|" in t else None for t in texts]
+        rest = [k for k, x in enumerate(out) if x is None]
+        at = 0
+        while at < len(rest):
+            to, size = at, 0
+            while to < len(rest) and (to == at or size + len(texts[rest[to]]) <= CHUNK):
+                size += len(texts[rest[to]])
+                to += 1
+            for k, x in zip(rest[at:to], self._chunk([texts[k].lower() if self.shares else texts[k] for k in rest[at:to]])):
+                out[k] = x
+            at = to
+        stop = np.array([end], self.kind)
+        return [np.concatenate((x, stop)) for x in out]
+
+
+@functools.lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One a worker process, for all its tasks."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Encoder(path)
+
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = END) -> None:
     """Encode docs and write the shards to path."""
@@ -66,23 +184,15 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = END) -> Non
     ids = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def encode(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(tokenizer)
-        wide = encoder.vocabulary > 1 << 16 or end >= 1 << 16
+        coder = encoder(tokenizer)
         for b in batches:
-            coded = encoder.encode(b.column("text").to_pylist(), end)
-            yield batch(ids, b.column("doc_id"), coded if wide else [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in coded])
+            yield batch(ids, b.column("doc_id"), [x.tobytes() for x in coder.encode(b.column("text").to_pylist(), end)])
 
     encoded = stage(map_arrow(text_rows(docs, F.col("doc_id").cast("long").alias("doc_id")), encode, "doc_id long, ids binary"), "ids")
+    vocabulary, kind = encoder(tokenizer).vocabulary, encoder(tokenizer).kind
     shards = pa.schema([("part", pa.int32()), ("place", pa.int32()), ("begins", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("data", pa.binary())])
 
     def pack(batches):
-        from tokenizers import Tokenizer
-
-        vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True)
-        kind = "<u4" if vocabulary > 1 << 16 or end >= 1 << 16 else "<u2"
         part, place, begins = TaskContext.get().partitionId(), 0, 0
         held, names, size = [], [], 0
 
