@@ -108,8 +108,9 @@ def mixed_documents(docs: DataFrame, percent: int = 150, most: int = 2) -> DataF
     each = F.concat(F.array_repeat(F.lit(None).cast("bigint"), whole.cast("int")), part)
     rows = rows.withColumn("__words", F.explode(each))
     # the end of each word is marked by a NUL; a text that has some already is cut to its words, joined by spaces
-    marked = F.expr(r"replace(substring_index(regexp_replace(text, '(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])', '\\u0000'), '\\u0000', cast(__words as int)), '\\u0000', '')")
-    joined = F.expr(r"array_join(slice(filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> ''), 1, cast(__words as int)), ' ')")
+    marked = F.regexp_replace("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", "\0")
+    marked = F.replace(F.call_function("substring_index", marked, F.lit("\0"), F.col("__words").cast("int")), F.lit("\0"), F.lit(""))
+    joined = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.greatest(F.col("__words"), F.lit(0)).cast("int")), " ")
     cut = F.when(F.instr("text", "\0") > 0, joined).otherwise(marked)
     text = F.when(F.col("__words").isNull(), F.col("text")).otherwise(cut)
     out = [text.alias(c) if c == "text" else F.when(F.col("__words").isNull(), F.col(c)).otherwise(F.length(text)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
