@@ -137,7 +137,7 @@ def profile(df: DataFrame, contract: Contract, as_of: Date) -> dict:
                 # the values themselves are few by nature of a category; the report shows the most frequent
                 kinds = {r.kind: r.n for r in categories(freq, rule).groupBy("kind").agg(F.sum("n").alias("n")).collect()}
                 facts["value_counts"] = [(r.value, r.n) for r in categories(freq, rule).limit(100).collect()]
-                issues += [f"{kinds['case_only']} values differ by case only"] * ("case_only" in kinds) + [f"{kinds['unknown']} values are no category"] * ("unknown" in kinds)
+                issues += [f"{kinds[k]} values {what}" for k, what in (("case_only", "differ by case only"), ("unknown", "are no category")) if k in kinds]
             else:
                 facts |= strings(freq, rule).first().asDict()
                 if rule.format == "phone":
