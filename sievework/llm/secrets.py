@@ -3,7 +3,7 @@
 Base kinds are patterns with a least length (assign, access, hex). The method adds spans that stand up to parsing:
   der   base64 or hex that decodes to DER: a SEQUENCE whose length and nested lengths fill it exactly and that has a key's shape
         (an INTEGER version or an algorithm's OBJECT IDENTIFIER first)
-  ssh   base64 that decodes to an OpenSSH key: length-prefixed fields that fill it exactly, the first a key type or the magic word
+  ssh   base64 that decodes to an OpenSSH key: length-prefixed fields that fill it exactly, after a key type or the magic word
   jwt   signed-token: header and payload are base64url JSON objects, the header names an algorithm, a signature follows
 
 Each is reported only if the decoded structure holds, so long random or encoded prose is left alone. Offsets are code points, ends exclusive.
@@ -33,8 +33,10 @@ HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{16,})(?![A-Za-z0-9_-])")
-#: A candidate: base64 whose lines may be folded, as in armoured files.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]{4,})*={0,2}(?![A-Za-z0-9+/=_-])")
+#: Candidates: base64 whose lines may be folded, as in armoured files, and its form for URLs on one line.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]{4,})*={0,2}")
+URL_BASE64 = re.compile(r"(?<![A-Za-z0-9_=-])[A-Za-z0-9_-]{40,}={0,2}(?![A-Za-z0-9_=-])")
+LINE = re.compile(r"[^\r\n=]+")
 HEX_BYTES = re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Za-z])")
 KINDS = ("assign", "access", "hex", "der", "ssh", "jwt")
 SSH_TYPES = re.compile(rb"(?:ssh|ecdsa|sk-ssh|sk-ecdsa)-[a-z0-9@.-]+\Z")
@@ -91,25 +93,47 @@ def is_der_key(data: bytes) -> bool:
     return False
 
 
-def is_ssh_key(data: bytes) -> bool:
-    if data.startswith(b"openssh-key-v1\0"):
-        data, least = data[15:], 3
-    else:
-        least = 2
-    at, fields = 0, []
+def der_size(data: bytes) -> int:
+    """Bytes of the element that data begins with, 0 if it begins with none."""
+    if len(data) < 2 or data[0] != 0x30:
+        return 0
+    wide = data[1] & 0x7F if data[1] >= 0x80 else 0
+    return 2 + wide + (int.from_bytes(data[2 : 2 + wide], "big") if wide else data[1]) if wide <= 4 else 0
+
+
+def ssh_ends(data: bytes) -> set[int]:
+    """Where an OpenSSH key that data begins with may end: after two fields or more of a public key, or four of a private one."""
+    private = data.startswith(b"openssh-key-v1\0")
+    at, fields, out = 15 if private else 0, 0, set()
     while at + 4 <= len(data):
-        (n,) = struct.unpack_from(">I", data, at)
-        if least == 3 and len(fields) == 3:  # number of keys stands between the fields
-            fields.append(b"")
-            at += 4
+        if private and fields == 3:  # the number of keys stands between the fields
+            at, fields = at + 4, fields + 1
             continue
-        if at + 4 + n > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
-    if at != len(data) or len(fields) < least:
-        return False
-    return least == 3 or bool(SSH_TYPES.match(fields[0]))
+        (n,) = struct.unpack_from(">I", data, at)
+        if at + 4 + n > len(data) or not private and not fields and not SSH_TYPES.match(data[4 : 4 + n]):
+            break
+        at, fields = at + 4 + n, fields + 1
+        if fields >= (6 if private else 2):
+            out.add(at)
+    return out
+
+
+def encoded_keys(m: re.Match, url: bool = False):
+    """(kind's place, end of span) of a key that begins where the candidate does and ends where one of its lines does."""
+    ends, size = [], 0
+    for line in LINE.finditer(m[0]):
+        size += line.end() - line.start()
+        ends.append((size, line.end()))
+    joined = m[0].replace("\r", "").replace("\n", "").rstrip("=")
+    data = unbase64(joined[: len(joined) // 4 * 4] if len(joined) % 4 == 1 else joined, url)
+    if not data:
+        return
+    sizes = {der_size(data): 3} if data[0] == 0x30 else dict.fromkeys(ssh_ends(data), 4)
+    for chars, end in ends:
+        n = chars * 3 // 4
+        if -(-4 * n // 3) == chars and n in sizes and (sizes[n] == 4 or is_der_key(data[:n])):
+            yield sizes[n], m.start() + (len(m[0]) if chars == size else end)
+            return
 
 
 def unbase64(s: str, url: bool = False) -> bytes | None:
@@ -164,12 +188,8 @@ def confirmed_spans(text: str, raw: bytes) -> list[tuple[int, int, str]]:
         if raw.count(b".") >= 2 and b"eyJ" in raw:
             out += [(m.start(), 5, m.end()) for m in JWT.finditer(text) if is_token_header(m[1], m[2])]
         return out
-    for m in BASE64.finditer(text):
-        data = unbase64(m[0], url="-" in m[0] or "_" in m[0])
-        if data and is_der_key(data):
-            out.append((m.start(), 3, m.end()))
-        elif data and is_ssh_key(data):
-            out.append((m.start(), 4, m.end()))
+    for pattern, url in ((BASE64, False), (URL_BASE64, True)):
+        out += [(m.start(), kind, end) for m in pattern.finditer(text) for kind, end in encoded_keys(m, url)]
     for m in HEX_BYTES.finditer(text):
         if is_der_key(bytes.fromhex(m[0])):
             out.append((m.start(), 3, m.end()))
