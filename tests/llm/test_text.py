@@ -130,16 +130,28 @@ JWT = ".".join((url(json.dumps({"alg": "HS256", "typ": "JWT"}).encode()), url(b'
 def test_structure_is_confirmed(secret, kind):
     text = f"é before\n{secret}\nafter"
     base, every = X.scan(text.encode())
-    assert not base and [(X.KINDS[k], a, b) for a, k, b in every] == [(kind, 9, 9 + len(secret))]
-    raw = RSA[:-1] + b"" if kind == "der" else SSH[:-1]
+    assert [(X.KINDS[k], a, b) for a, k, b in every if (a, k, b) not in base] == [(kind, 9, 9 + len(secret))]
+    raw = RSA[:-1] if kind == "der" else SSH[:-1]
     assert X.scan(f"x {base64.b64encode(raw).decode()} y".encode())[1] == []
 
 
+def test_armour_and_what_follows_are_no_part_of_a_key():
+    body = base64.encodebytes(PKCS8).decode().strip()
+    t = f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----\n"
+    assert [t[a:b] for a, k, b in X.confirmed_spans(t, t.encode())] == [body]
+    t = f"{base64.b64encode(SSH).decode()}\nuser\nmore words"
+    assert [t[a:b] for a, k, b in X.confirmed_spans(t, t.encode())] == [base64.b64encode(SSH).decode()]
+    private = b"openssh-key-v1\0" + b"".join(struct.pack(">I", len(x)) + x for x in (b"none", b"none", b"")) + struct.pack(">I", 1) + b"".join(struct.pack(">I", len(x)) + x for x in (SSH, b"p" * 136))
+    t = f"x {base64.b64encode(private).decode()}"
+    assert [(X.KINDS[k], t[a:b]) for a, k, b in X.confirmed_spans(t, t.encode())] == [("ssh", t[2:])]
+
+
 def test_random_encodings_are_left_alone():
     rng = random.Random(4)
     for _ in range(300):
         blob = rng.randbytes(rng.randrange(40, 200))
-        assert X.confirmed_spans(t := f"x {base64.b64encode(blob).decode()} {blob.hex().upper()} y", t.encode()) == []
+        t = f"x {base64.b64encode(blob).decode()} {blob.hex().upper()} {url(blob)} y"
+        assert X.confirmed_spans(t, t.encode()) == []
 
 
 def test_base_spans_equal_plain_patterns(spark):
