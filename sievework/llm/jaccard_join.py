@@ -213,7 +213,7 @@ def _lists(text: DataFrame, k: int, percent: int, last, bits: int, parts: int) -
                     seen.add(gid)
                 rows = np.empty(len(prefix), kind)
                 rows["token"], rows["gid"], rows["n"], rows["rank"] = prefix, gid, len(g), np.arange(len(prefix))
-                key = prefix >> U(64 - bits)
+                key = mix(prefix) >> U(64 - bits)  # tokens of prefixes are small by choice
                 key[light:] = ranges + U(gid + 2**63) % ranges
                 held.append(rows)
                 keys.append(key)
