@@ -68,8 +68,8 @@ class Shard:
         return self.expand(self.symbols), np.concatenate(([0], np.cumsum(size)))[self.offsets]
 
 
-def compress(ids: np.ndarray, offsets: np.ndarray, vocabulary: int, least: int = 12, rounds: int = 4) -> Shard:
-    """ids of all documents and their offsets (one more than documents)."""
+def compress(ids: np.ndarray, offsets: np.ndarray, vocabulary: int, least: int = 12, rounds: int = 8, worth: float = 0.04) -> Shard:
+    """ids of all documents and their offsets (one more than documents). Ends with a round whose pairs make up less than `worth` of the symbols."""
     seq = ids.astype(np.uint32)
     ends = np.zeros(len(seq), bool)
     ends[offsets[1:][offsets[1:] > 0] - 1] = True
@@ -78,41 +78,49 @@ def compress(ids: np.ndarray, offsets: np.ndarray, vocabulary: int, least: int =
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        code = (seq[:-1].astype(U) << U(32)) | seq[1:]
-        code[ends[:-1]] = U(2**64 - 1)
+        # 16 bits a symbol as long as they do: such keys sort in half the time
+        small = top < 1 << 16
+        kind, shift = (np.uint32, np.uint32(16)) if small else (U, U(32))
+        none = kind(2 ** (32 if small else 64) - 1)
+        code = (seq[:-1].astype(kind) << shift) | seq[1:]
+        code[ends[:-1]] = none
         order = np.argsort(code)
         ranked = code[order]
         start = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
         count = np.diff(np.append(start, len(ranked)))
-        new = (count >= least) & (ranked[start] != U(2**64 - 1))
-        if not new.any():
+        new = (count >= least) & (ranked[start] != none)
+        if not new.any() or count[new].sum() < worth * len(seq):
             break
+        often = np.repeat(new, count)
+        place = order[often]
         named = np.zeros(len(seq), np.uint32)  # 0: no pair starts here
-        named[order[np.repeat(new, count)]] = np.repeat(np.arange(top, top + new.sum(), dtype=np.uint32), count[new])
-        rank = np.zeros(len(seq), np.int64)
-        rank[order[np.repeat(new, count)]] = np.repeat(count[new], count[new])
+        named[place] = np.repeat(np.arange(top, top + new.sum(), dtype=np.uint32), count[new])
+        rank = np.zeros(len(seq) + 2, np.int32)  # of the pair at each place, a place further on
+        rank[place + 1] = np.repeat(count[new].astype(np.int32), count[new])
         # where candidates overlap, the more frequent pair goes first; then left to right
-        wins = named > 0
-        before, after = np.concatenate(([0], rank[:-1])), np.concatenate((rank[1:], [0]))
-        strong = wins & (rank > before) & (rank >= after)
-        taken = np.concatenate(([False], strong[:-1])) | strong
-        hit = np.flatnonzero(wins & ~taken & ~np.concatenate((strong[1:], [False])))
+        wins, before, here, after = named > 0, rank[:-2], rank[1:-1], rank[2:]
+        strong = wins & (here > before) & (here >= after)
+        near = strong.copy()
+        near[1:] |= strong[:-1]
+        near[:-1] |= strong[1:]
+        hit = np.flatnonzero(wins & ~near)
         if len(hit):  # what is left: every other one of each run
             fresh = np.flatnonzero(np.concatenate(([True], np.diff(hit) > 1)))
             within = np.arange(len(hit)) - np.repeat(fresh, np.diff(np.append(fresh, len(hit))))
             strong[hit[within % 2 == 0]] = True
         pairs = ranked[start[new]]
-        rules.append(np.stack((pairs >> U(32), pairs & U(0xFFFFFFFF)), 1).astype(np.uint32))
+        rules.append(np.stack((pairs >> shift, pairs & kind(2 ** int(shift) - 1)), 1).astype(np.uint32))
         known = np.concatenate(lengths)
         size = lambda x: np.where(x < first, 1, known[np.maximum(x.astype(np.int64) - first, 0)] if len(known) else 1)
         lengths.append(size(rules[-1][:, 0]) + size(rules[-1][:, 1]))
         made.append(int(new.sum()))
         top += made[-1]
-        seq = np.where(strong, named, seq)
+        at = np.flatnonzero(strong)
+        seq[at] = named[at]
+        ends[at] = ends[at + 1]
         keep = np.ones(len(seq), bool)
-        keep[np.flatnonzero(strong) + 1] = False
-        ends[np.flatnonzero(strong)] = ends[np.flatnonzero(strong) + 1]
-        at = np.concatenate(([0], np.cumsum(keep)))
-        offsets = at[offsets]
+        keep[at + 1] = False
+        # a document's offset moves down by the places lost before it
+        offsets = offsets - np.searchsorted(at, offsets)
         seq, ends = seq[keep], ends[keep]
     return Shard(first, np.concatenate(rules), np.array(made, np.uint32), np.concatenate(lengths), seq, offsets)
