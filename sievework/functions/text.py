@@ -75,7 +75,7 @@ def phone_label(c: Column) -> Column:
 
 def shape(c: Column, cap: int = 24) -> Column:
     """Letters as x, digits as 9: a value's form without the value."""
-    return F.substring(F.regexp_replace(F.regexp_replace(text(c), "[A-Za-z]", "x"), r"(?U)\d", "9"), 1, cap)
+    return F.regexp_replace(F.regexp_replace(F.substring(text(c), 1, cap), "[A-Za-z]", "x"), r"(?U)\d", "9")
 
 
 def is_alphabetic(c: Column) -> Column:

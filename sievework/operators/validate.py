@@ -24,8 +24,8 @@ def value_columns(df: DataFrame) -> list[str]:
 
 
 def _rules(contract: Contract, rule: ColumnRule, columns: list[str], stage: str, as_of: Date) -> list[Column]:
-    v = T.strip(F.col(rule.name))
-    gone = v.isin(*contract.null_tokens)
+    v = F.col(f"__v_{rule.name}")
+    gone = F.col(f"__gone_{rule.name}")
 
     def broken(when: Column, check: str, message, shape: bool = False, severity: str | None = None) -> Column:
         return F.when(when, F.struct(
@@ -40,7 +40,7 @@ def _rules(contract: Contract, rule: ColumnRule, columns: list[str], stage: str,
         out.append(broken(gone & ~known, "required_missing", "required value is missing and not recorded"))
     there = ~gone
     if rule.type in ("integer", "numeric"):
-        n = T.number(v)
+        n = F.col(f"__p_{rule.name}")
         out.append(broken(there & n.isNull(), "type_invalid", f"not a valid {rule.type}", True))
         if rule.type == "integer":
             out.append(broken(there & (n != F.floor(n)), "type_invalid", "not a whole number", True))
@@ -49,7 +49,7 @@ def _rules(contract: Contract, rule: ColumnRule, columns: list[str], stage: str,
         if rule.max is not None:
             out.append(broken(there & (n > rule.max), "range_invalid", f"above maximum {rule.max:,}"))
     elif rule.type == "date":
-        d = T.date(v, rule.date_format)
+        d = F.col(f"__p_{rule.name}")
         years = T.age(d, as_of)
         out.append(broken(there & d.isNull(), "type_invalid", f"not a date in {rule.date_format}", True))
         out.append(broken(there & (d > F.lit(as_of)), "range_invalid", "date is in the future"))
@@ -75,15 +75,21 @@ def _rules(contract: Contract, rule: ColumnRule, columns: list[str], stage: str,
 
 
 def with_failures(df: DataFrame, contract: Contract, stage: str, as_of: Date) -> DataFrame:
-    """df and _failures, the array of each row's broken rules."""
+    """df and _failures, the array of each row's broken rules. Cells are stripped and parsed once, before the rules read them."""
+    rules = [r for r in contract.columns if r.name in df.columns]
+    stripped = df.withColumns({f"__v_{r.name}": T.strip(F.col(r.name)) for r in rules})
+    parsed = stripped.withColumns(
+        {f"__gone_{r.name}": F.col(f"__v_{r.name}").isin(*contract.null_tokens) for r in rules}
+        | {f"__p_{r.name}": T.number(F.col(f"__v_{r.name}")) for r in rules if r.type in ("integer", "numeric")}
+        | {f"__p_{r.name}": T.date(F.col(f"__v_{r.name}"), r.date_format) for r in rules if r.type == "date"})
     found = [x for r in contract.columns if r.name in df.columns for x in _rules(contract, r, df.columns, stage, as_of)]
     if {contract.birth, contract.created} <= set(df.columns):
-        born, made = T.date(T.strip(F.col(contract.birth))), T.date(T.strip(F.col(contract.created)))
+        born, made = (T.date(T.strip(F.col(c))) if not contract.rule(c) or contract.rule(c).type != "date" or contract.rule(c).date_format != "%Y-%m-%d" else F.col(f"__p_{c}") for c in (contract.birth, contract.created))
         found.append(F.when(born > made, F.struct(
             F.lit("cross_field_invalid").alias("check"), F.lit(contract.birth).alias("column"), F.lit(contract.severity_of("cross_field_invalid", stage)).alias("severity"),
             F.lit(f"{contract.birth} is after {contract.created}").alias("message"), F.lit(None).cast("string").alias("value_shape"))))
     array = F.filter(F.array(*found), lambda x: x.isNotNull()) if found else F.array()
-    return df.withColumn("_failures", array.cast(FAILURE))
+    return parsed.select(*df.columns, array.cast(FAILURE).alias("_failures"))
 
 
 def failures(df: DataFrame, contract: Contract, stage: str, as_of: Date) -> DataFrame:

@@ -16,6 +16,7 @@ from datetime import date, datetime, timezone
 from logging.handlers import RotatingFileHandler
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
@@ -149,6 +150,7 @@ class Pipeline:
         source = f"data/raw/{self.name}_raw.csv"
         with self.step("load_raw") as s:
             raw, warnings = _load(self.spark, f"{self.root}/{source}", contract.expected)
+            raw = raw.persist(StorageLevel.DISK_ONLY)
             held.append(raw.unpersist)
             s.rows_in = s.rows_out = n = raw.count()
             s.detail = "; ".join(warnings) or "all columns as text"

@@ -47,14 +47,13 @@ def read_csv(spark: SparkSession, path: str, expected: Sequence[str] = (), multi
         raise InputError(f"{path} is empty")
     names = header(spark, path)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, OVERFLOW, CORRUPT]])
-    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", multiline).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("emptyValue", "").csv(path)
-    # monotonically increasing in (partition, row): files are read in the order of their splits
-    rows = rows.withColumn("_row_id", F.monotonically_increasing_id()).persist()
-    long = rows.where(F.col(CORRUPT).isNull() | F.col(OVERFLOW).isNotNull())
-    if not long.isEmpty():
-        rows.unpersist()
-        raise InputError(f"{path} has rows with more fields than its header")
-    if rows.isEmpty():
+    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", multiline).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("emptyValue", "").option("columnPruning", False).csv(path)
+    # increasing in (partition, row): files are read in the order of their splits; whoever reads more than once should persist
+    rows = rows.withColumn("_row_id", F.monotonically_increasing_id())
+    seen = rows.agg(F.count("*").alias("n"), F.count_if(F.col(CORRUPT).isNull() | F.col(OVERFLOW).isNotNull()).alias("long")).first()
+    if seen.long:
+        raise InputError(f"{path} has {seen.long} rows with more fields than its header")
+    if not seen.n:
         raise InputError(f"{path} has a header but no rows")
     absent = sorted(set(expected) - set(names))
     if absent:

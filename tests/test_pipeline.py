@@ -25,7 +25,6 @@ def test_csv_reading(spark, tmp_path):
     df, warnings = files.read_csv(spark, path, ["a"])
     assert [tuple(r)[:2] for r in df.select("a", "b", "_row_id").orderBy("_row_id").collect()] == [("1", 'x, "y"\nz'), ("2", ""), (" 3 ", "NA")]
     assert "['b']" in warnings[0]
-    df.unpersist()
     for text, why in (("a,b\n1,2\n1,2,3\n", "more fields"), ("a,b\n1,2,3\n1,2\n", "more fields"), ("a,b\n", "no rows"), ("", "empty"), ("b\n1\n", "lacks"), ("a,a\n1,2\n", "repeated")):
         with pytest.raises(InputError, match=why):
             files.read_csv(spark, put(tmp_path, text), ["a"])
@@ -42,9 +41,15 @@ def raw(spark, tmp_path_factory):
     return root
 
 
-def test_run(spark, raw):
-    r = Pipeline(spark, str(raw), as_of=AS_OF, allow_dev_salt=True, write_sample=True).run()
-    # the fixture is dirtier than the contract allows
+def contract_with(tmp_path, limit):
+    from sievework.contract import CUSTOMERS
+
+    (tmp_path / "c.yaml").write_text(CUSTOMERS.read_text().replace("max_quarantine_rate_pct: 40", f"max_quarantine_rate_pct: {limit}"))
+    return tmp_path / "c.yaml"
+
+
+def test_gate_stops_a_run(spark, raw, tmp_path):
+    r = Pipeline(spark, str(raw), contract_with(tmp_path, 1), as_of=AS_OF, allow_dev_salt=True).run()
     assert r.exit_code == QUALITY and r.halted_at == "validate_post" and "would be quarantined" in r.halt_reason
     assert [s.status for s in r.steps] == ["ok"] * 6 + ["failed"]
     for f in ("reports/data_quality_report.txt", "reports/pii_detection_report.txt", "reports/cleaning_log.txt", "reports/validation_results.txt", "reports/execution_report.txt"):
@@ -52,14 +57,10 @@ def test_run(spark, raw):
     assert not list((raw / "data/processed").glob("*masked*"))
 
 
-def test_run_to_its_end_and_again(spark, raw, tmp_path):
-    from sievework.contract import CUSTOMERS
-
-    loose = tmp_path / "loose.yaml"
-    loose.write_text(CUSTOMERS.read_text().replace("max_quarantine_rate_pct: 40", "max_quarantine_rate_pct: 100"))
+def test_run_to_its_end_and_again(spark, raw):
     outs = []
     for _ in range(2):
-        r = Pipeline(spark, str(raw), loose, as_of=AS_OF, allow_dev_salt=True, write_sample=True).run()
+        r = Pipeline(spark, str(raw), as_of=AS_OF, allow_dev_salt=True, write_sample=True).run()
         assert r.exit_code == OK, (r.halted_at, r.halt_reason)
         outs.append(sorted(tuple(x) for x in spark.read.option("header", True).csv(f"{raw}/data/processed/customers_masked.csv").collect()))
     assert outs[0] == outs[1] and "RESTRICTED" in (raw / "reports/masked_sample.txt").read_text()
