@@ -9,8 +9,8 @@ from __future__ import annotations
 
 
 class Lexicon:
-    def __init__(self, terms: dict[str, float], stems: dict[str, float], exact_below: int = 5, two_from: int = 9):
-        """Terms and stems with the weight of each."""
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], exact_below: int = 5, two_from: int = 9, sure: float = 0.0):
+        """Terms and stems with the weight of each. Terms that weigh less than `sure` allow no error."""
         self.children: list[dict[str, int]] = [{}]
         self.word: list[float | None] = [None]
         self.stem: list[float | None] = [None]
@@ -18,7 +18,7 @@ class Lexicon:
         self.allowed: list[int] = [0]
         for group, weights in ((self.word, terms), (self.stem, stems)):
             for term, weight in sorted(weights.items()):
-                budget = 0 if group is self.stem or len(term) < exact_below else 1 if len(term) < two_from else 2
+                budget = 0 if group is self.stem or len(term) < exact_below or weight < sure else 1 if len(term) < two_from else 2
                 node = 0
                 self.most[0] = max(self.most[0], budget)
                 for c in term:

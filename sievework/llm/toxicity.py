@@ -34,10 +34,15 @@ REPORT = frozenset("said says wrote writes quoted quote called calls word words
 ADDRESS = frozenset("you your you're youre u are is such these those all they du dich ihr sie tu vous toi vosotros ustedes eres".split())
 OPEN = "\"'“”‘’«»„"
 WINDOW = 8
+#: The weight of fixed terms, and the greatest of learned ones. Only fixed terms are looked for misspelled: of learned
+#: ones it isn't known which neighbours are words of the language.
+SURE, LEARNED = 4.5, 4.0
 STEMS = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 #: Used where nothing can be learned: intercept, then a weight for each of summary()'s numbers.
-PRIOR = np.array([-4.0, 1.2, 2.0, 1.0, 0.5, -2.0, 0.0])
+PRIOR = np.array([-4.0, 1.2, 2.0, 1.0, 0.5, -2.0, 1.0])
+#: The least coefficient of misspelled hits.
+MISSPELLED = 0.3
 #: Distinct words that a task remembers; then it forgets all and goes on.
 KNOWN = 500_000
 
@@ -58,7 +63,7 @@ class Scorer:
         self.hits: dict[str, tuple[float, int]] = {}
 
     def summary(self, text: bytes) -> np.ndarray:
-        """Hits (log), weight of hits in context, of the strongest, per 100 words (log), in quotation, misspelled (log)."""
+        """Exact hits (log), their weight in context (log), that of the strongest, exact hits per 100 words (log), share in quotation, weight of misspelled hits (log)."""
         low = text.decode("utf-8", "replace").lower()
         words = WORD.findall(low)
         distinct = set(words)
@@ -88,19 +93,21 @@ class Scorer:
                 marked = before != "" and before in OPEN or after != "" and after in OPEN
             quote = 0.5 * report + 0.5 * marked
             quoted += quote
-            wrong += errors > 0
-            weight = weight * context * (1 - 0.6 * quote) / (1 + errors)
-            total += weight
-            strongest = max(strongest, weight)
-        n = len(at)
-        return np.array([np.log1p(n), np.log1p(total), strongest / 4, np.log1p(100 * n / len(words)), quoted / n, np.log1p(wrong)])
+            weight = weight * context * (1 - 0.6 * quote)
+            if errors:
+                wrong += weight / (1 + errors)
+            else:
+                total += weight
+                strongest = max(strongest, weight)
+        n = sum(self.hits[words[i]][1] == 0 for i in at)
+        return np.array([np.log1p(n), np.log1p(total), strongest / 4, np.log1p(100 * n / len(words)), quoted / len(at), np.log1p(wrong)])
 
 
 def score(x: np.ndarray, model: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model[0] + x @ model[1:], -60, 60)))
 
 
-def learned(documents: list[tuple[int, bytes]], least: int = 3, odds: float = 2.0) -> tuple[dict[str, float], dict[str, float]]:
+def learned(documents: list[tuple[int, bytes]], least: int = 4, odds: float = 3.0) -> tuple[dict[str, float], dict[str, float]]:
     """Words and stems whose share of toxic documents is exp(odds) times that of the others, or more; weights are log odds, 4 at most."""
     bad, good, n_bad, n_good = Counter(), Counter(), 0, 0
     texts = [(y, grams(set(WORD.findall(t.decode("utf-8", "replace").lower())))) for y, t in documents]
@@ -119,7 +126,7 @@ def learned(documents: list[tuple[int, bytes]], least: int = 3, odds: float = 2.
         # the lower end of what chance allows, so that rare words need more evidence
         value -= 1.0 / np.sqrt(n) + 1.0 / np.sqrt(good[g] + 1) * 0.5
         if n >= least and value >= odds:
-            (stems if g.endswith("*") else terms)[g.removesuffix("*")] = float(min(4.0, value))
+            (stems if g.endswith("*") else terms)[g.removesuffix("*")] = float(min(LEARNED, value))
     return terms, stems
 
 
@@ -156,14 +163,17 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_char
     # terms are learned on one half and coefficients on the other, then terms on all
     half = documents[::2]
     terms, stems = learned(half)
-    base = {t: 3.0 for t in TERMS}
+    base = {t: SURE for t in TERMS}
     rest = documents[1::2]
     model = PRIOR
     if sum(y for y, _ in rest) >= 3 and any(not y for y, _ in rest):
-        scorer = Scorer(Lexicon(terms | base, stems))
-        model = fit(np.array([scorer.summary(t) for _, t in rest]), np.array([y for y, _ in rest], float))
+        scorer = Scorer(Lexicon(terms | base, stems, sure=SURE))
+        x, y = np.array([scorer.summary(t) for _, t in rest]), np.array([y for y, _ in rest], float)
+        model = fit(x, y)
+        if model[-1] < MISSPELLED:  # labels may hold too few misspelled terms to tell; they never speak for a text
+            model = np.append(fit(x[:, :-1], y), MISSPELLED)
     terms, stems = learned(documents)
-    return Lexicon(terms | base, stems), model
+    return Lexicon(terms | base, stems, sure=SURE), model
 
 
 def score_documents(docs: DataFrame, lexicon: Lexicon, model: np.ndarray, at: float = 0.7) -> DataFrame:
