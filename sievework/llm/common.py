@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Most rows that any operator here broadcasts as ids; beyond it the same join is shuffled.
 BROADCAST_ROWS = 2_000_000
 #: Rows of an Arrow batch, at most; texts may be long.
-BATCH_ROWS = 512
+BATCH_ROWS = 64
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,7 +35,7 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, and each row is computed once whatever executors are lost later."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out

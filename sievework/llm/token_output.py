@@ -28,7 +28,7 @@ from .common import BROADCAST_ROWS, batch, map_arrow, partitions, shared_dir, st
 from .grammar import Shard, compress
 from .textnum import U, mix, prefix_sums, runs, word_spans
 
-SHARD_IDS = 1_000_000
+SHARD_IDS = 1 << 17
 END = 1
 #: Distinct pieces that a worker remembers; then it forgets all and goes on.
 PIECES = 1_000_000
@@ -77,7 +77,7 @@ class Encoder:
     def forget(self) -> None:
         self.known = (np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))  # hash, length, offset, ids
         self.recent = self.known
-        self.ids = np.empty(0, self.kind)
+        self.ids, self.used = np.empty(1 << 20, self.kind), 0
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -137,8 +137,12 @@ class Encoder:
         if len(todo):
             fresh = self._new([raw[i:j] for i, j in zip(s[one[todo]].tolist(), e[one[todo]].tolist())])
             amount[todo] = [len(x) for x in fresh]
-            place[todo] = len(self.ids) + np.cumsum(amount[todo]) - amount[todo]
-            self.ids = np.concatenate((self.ids, *fresh))
+            place[todo] = self.used + np.cumsum(amount[todo]) - amount[todo]
+            more = np.concatenate(fresh)
+            if self.used + len(more) > len(self.ids):
+                self.ids = np.concatenate((self.ids, np.empty(max(len(self.ids), len(more)), self.kind)))
+            self.ids[self.used : self.used + len(more)] = more
+            self.used += len(more)
             self.recent = self._merge(self.recent, (u[todo], length[todo], place[todo], amount[todo]))
             if len(self.recent[0]) > RECENT:
                 self.known, self.recent = self._merge(self.known, self.recent), tuple(x[:0] for x in self.recent)
@@ -185,8 +189,16 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = END) -> Non
 
     def encode(batches):
         coder = encoder(tokenizer)
+        names, texts, size = [], [], 0
         for b in batches:
-            yield batch(ids, b.column("doc_id"), [x.tobytes() for x in coder.encode(b.column("text").to_pylist(), end)])
+            names += b.column("doc_id").to_pylist()
+            texts += b.column("text").to_pylist()
+            size += b.column("text").nbytes
+            if size >= CHUNK:
+                yield batch(ids, names, [x.tobytes() for x in coder.encode(texts, end)])
+                names, texts, size = [], [], 0
+        if names:
+            yield batch(ids, names, [x.tobytes() for x in coder.encode(texts, end)])
 
     encoded = stage(map_arrow(text_rows(docs, F.col("doc_id").cast("long").alias("doc_id")), encode, "doc_id long, ids binary"), "ids")
     vocabulary, kind = encoder(tokenizer).vocabulary, encoder(tokenizer).kind
