@@ -38,6 +38,8 @@ RECENT = 50_000
 JOINED = 2_000
 #: Bytes of texts that are encoded together.
 CHUNK = 1 << 20
+#: Signs at the end of a word that are looked at; a longer tail stays with its word.
+TAIL = 4
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 
@@ -46,10 +48,16 @@ def pieces(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where pieces of a text begin and end: what stands between white space, and of that the ASCII signs after the last ASCII letter or
     digit apart, which the tokenizer splits off as well."""
     s, e = word_spans(b)
-    at = np.arange(len(b))
-    core = np.maximum.accumulate(np.where(ALNUM[b], at, -1))[e - 1] + 1
-    wide = np.maximum.accumulate(np.where(b > 127, at, -1))[e - 1] + 1
-    tail = (core > s) & (core < e) & (wide < core)
+    sign = ~ALNUM & (np.arange(256) < 128)
+    core, todo = e.copy(), np.flatnonzero(sign[b[e - 1]])
+    for _ in range(TAIL):
+        core[todo] -= 1
+        todo = todo[core[todo] > s[todo]]
+        todo = todo[sign[b[core[todo] - 1]]]
+        if not len(todo):
+            break
+    tail = (core > s) & (core < e)
+    tail[tail] = ALNUM[b[core[tail] - 1]]
     where = np.cumsum(1 + tail)
     starts, ends = np.empty(where[-1] if len(where) else 0, np.int64), np.empty(where[-1] if len(where) else 0, np.int64)
     first = where - 1 - tail
