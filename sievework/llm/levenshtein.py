@@ -9,8 +9,9 @@ from __future__ import annotations
 
 
 class Lexicon:
-    def __init__(self, terms: dict[str, float], stems: dict[str, float], exact_below: int = 5, two_from: int = 9, sure: float = 0.0):
-        """Terms and stems with the weight of each. Terms that weigh less than `sure` allow no error."""
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], exact_below: int = 5, two_from: int = 9, budgets: dict[str, int] | None = None, plain: frozenset[str] = frozenset()):
+        """Terms and stems with the weight of each. `budgets` lowers the errors of single terms; words in `plain` are met without an error only."""
+        self.plain = plain
         self.children: list[dict[str, int]] = [{}]
         self.word: list[float | None] = [None]
         self.stem: list[float | None] = [None]
@@ -18,7 +19,8 @@ class Lexicon:
         self.allowed: list[int] = [0]
         for group, weights in ((self.word, terms), (self.stem, stems)):
             for term, weight in sorted(weights.items()):
-                budget = 0 if group is self.stem or len(term) < exact_below or weight < sure else 1 if len(term) < two_from else 2
+                budget = 0 if group is self.stem or len(term) < exact_below else 1 if len(term) < two_from else 2
+                budget = min(budget, (budgets or {}).get(term, budget))
                 node = 0
                 self.most[0] = max(self.most[0], budget)
                 for c in term:
@@ -31,6 +33,12 @@ class Lexicon:
                 group[node] = max(weight, group[node] or weight)
                 if group is self.word:
                     self.allowed[node] = budget
+        self.names = {}
+        for term in terms:
+            node = 0
+            for c in term:
+                node = self.children[node][c]
+            self.names[node] = term
         self._reset()
 
     def _reset(self) -> None:
@@ -77,7 +85,7 @@ class Lexicon:
         self.step[state][c] = to
         return to
 
-    def match(self, word: str) -> tuple[float, int] | None:
+    def match(self, word: str, stems: bool = True) -> tuple[float, int] | None:
         """Weight and errors of the best term; fewest errors first, then the greatest weight. A stem counts as no error."""
         if len(self.sets) > 50_000:
             self._reset()
@@ -86,9 +94,22 @@ class Lexicon:
             state = self.step[state][c] if c in self.step[state] else self._read(state, c)
             if state < 0:
                 return (stem, 0) if stem is not None else None
-            if self.begun[state] is not None:
+            if stems and self.begun[state] is not None:
                 stem = max(self.begun[state], stem if stem is not None else self.begun[state])
         found = self.exact[state]
+        if found is not None and found[1] and word in self.plain:
+            found = None
         if stem is not None and (found is None or found[1] > 0 or found[0] < stem):
             return stem, 0
         return found
+
+    def near(self, word: str) -> list[tuple[str, int]]:
+        """Every term that allows the errors with which it reads as word, and how many these are."""
+        if len(self.sets) > 50_000:
+            self._reset()
+        state = self.start
+        for c in word:
+            state = self.step[state][c] if c in self.step[state] else self._read(state, c)
+            if state < 0:
+                return []
+        return [(self.names[n], e) for n, e in self.sets[state] if n in self.names and e <= self.allowed[n]]

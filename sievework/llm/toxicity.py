@@ -1,7 +1,9 @@
 """Toxicity: a lexicon met by Levenshtein automata, and scores of the context in which its terms stand.
 
 The lexicon has a fixed part (terms of abuse in English) and one learned from labelled documents: words and word beginnings (stems) that stand far more
-often in documents labelled toxic. Every distinct word of a text runs through the automaton (levenshtein.Lexicon), so misspelled terms are met as well.
+often in documents labelled toxic. Every distinct word of a text runs through the automaton (levenshtein.Lexicon), so misspelled terms are met as well, also
+those with digits or signs among their letters ('1diot', 'st*pid'). Words frequent in non-toxic documents are never taken for misspelled terms, and a learned
+term allows only as many errors as leave all of them out. A misspelled hit counts in the same sums as an exact one, divided by one more than its errors.
 Each hit is weighed by its context, `WINDOW` words to either side: more hits and words of address raise it, quotation
 marks around it and words of report lower it. A logistic regression on these sums, fitted on labelled documents, gives the score.
 
@@ -15,6 +17,7 @@ out; extra columns are not read. Without toxic labels to learn from, fixed coeff
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -34,15 +37,25 @@ REPORT = frozenset("said says wrote writes quoted quote called calls word words
 ADDRESS = frozenset("you your you're youre u are is such these those all they du dich ihr sie tu vous toi vosotros ustedes eres".split())
 OPEN = "\"'“”‘’«»„"
 WINDOW = 8
-#: The weight of fixed terms, and the greatest of learned ones. Only fixed terms are looked for misspelled: of learned
-#: ones it isn't known which neighbours are words of the language.
+#: What may stand for a letter, and what for any letter.
+LEET = str.maketrans("01345789@$€!|+", "oieastbgaseiit")
+SIGNS = "*#"
+#: Runs of letters that hold digits or signs.
+MASKED = re.compile(r"(?<![\w*#@$€!|+])[^\W\d_]*+[\d_*#@$€!|+][\w*#@$€!|+]*+")
+#: Words that are one or two errors away from a fixed term and no abuse, whether or not labelled documents have them.
+PLAIN = frozenset("""idiom idioms boron baron maroon macron moran stupor lower lowers lose loses lover lovers closer closers poser posers laser lasers leser loner loners crash brash thrash
+crown crowns down blown brown jerky creed creek creeks crepe break breaks freaky filthy bitch batch pitch witch ditch hitch botch where whole chore shore wore store prick
+price brick trick pick pricy cycle ducking sucking tucking bucking locking tucker sucker pucker garage switch buster bustard custard mustard dastard parasitic degenerated
+degenerative distrusting digesting discussing discusting worth wordless wireless empathetic apathetic sympathetic pathetically vermeil venison verity cretan creation
+certain halfway""".split())
+#: The weight of fixed terms, and the greatest of learned ones.
 SURE, LEARNED = 4.5, 4.0
 STEMS = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 #: Used where nothing can be learned: intercept, then a weight for each of summary()'s numbers.
-PRIOR = np.array([-4.0, 1.2, 2.0, 1.0, 0.5, -2.0, 1.0])
-#: The least coefficient of misspelled hits.
-MISSPELLED = 0.3
+PRIOR = np.array([-4.0, 1.2, 2.0, 1.0, 0.5, -2.0, 0.0])
+#: Non-toxic documents that a word stands in to be frequent.
+FREQUENT = 3
 #: Distinct words that a task remembers; then it forgets all and goes on.
 KNOWN = 500_000
 
@@ -56,16 +69,53 @@ def grams(words: set[str]) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
 
 
+def words_of(text: bytes) -> set[str]:
+    return set(WORD.findall(text.decode("utf-8", "replace").lower()))
+
+
 class Scorer:
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
         self.known: set[str] = set()
         self.hits: dict[str, tuple[float, int]] = {}
 
+    def unmasked(self, word: str) -> tuple[float, int] | None:
+        """Weight and errors of the term that a word with digits or signs stands for; what they hide is one error, stems don't count."""
+        plain = word.translate(LEET)
+        spelled = [plain.replace(x, c) for x in SIGNS if plain.count(x) == 1 for c in "abcdefghijklmnopqrstuvwxyz"] if sum(map(plain.count, SIGNS)) == 1 else [plain]
+        found = [f for f in (self.lexicon.match(w, stems=False) for w in spelled) if f and f[1] == 0]
+        return (max(found)[0], 1) if found else self.lexicon.match(word, stems=False)
+
+    def words(self, low: str) -> list[tuple[int, str]]:
+        """Words and where they begin. A run with digits or signs inside is one word if it is a hit, else its letters are words."""
+        out = [(m.start(), m[0]) for m in WORD.finditer(low)]
+        masked = []
+        for m in MASKED.finditer(low):
+            word = m[0].rstrip("*#!|+_").lstrip("*#!|+_")
+            if len(word) > 24 or sum(c.isalpha() for c in word) < 2 or word.isalpha():
+                continue
+            if word not in self.known:
+                self.known.add(word)
+                found = self.unmasked(word)
+                if found:
+                    self.hits[word] = found
+            if word in self.hits:
+                at = m.start() + m[0].index(word)
+                masked.append((at, at + len(word), word))
+        if masked:
+            begins = [a for a, _, _ in masked]
+            out = [(i, w) for i, w in out if (k := bisect_right(begins, i)) == 0 or i >= masked[k - 1][1]]
+            out = sorted(out + [(a, w) for a, _, w in masked])
+        return out
+
     def summary(self, text: bytes) -> np.ndarray:
-        """Exact hits (log), their weight in context (log), that of the strongest, exact hits per 100 words (log), share in quotation, weight of misspelled hits (log)."""
+        """Hits (log), their weight in context (log), that of the strongest, hits per 100 words (log), share in quotation, weight of misspelled hits (log).
+
+        A misspelled hit counts in part in all of them; the last number is for what labels say of misspelled hits beyond that.
+        """
         low = text.decode("utf-8", "replace").lower()
-        words = WORD.findall(low)
+        placed = self.words(low)
+        words = [w for _, w in placed]
         distinct = set(words)
         for w in distinct - self.known:
             found = self.lexicon.match(w)
@@ -79,9 +129,9 @@ class Scorer:
         if not there:
             return np.zeros(6)
         at = [i for i, w in enumerate(words) if w in there]
-        spots = [m.start() for m in WORD.finditer(low)] if any(q in low for q in OPEN) else None
+        spots = [i for i, _ in placed] if any(q in low for q in OPEN) else None
         near = set(at)
-        total = strongest = quoted = wrong = 0.0
+        n = total = strongest = quoted = wrong = 0.0
         for i in at:
             weight, errors = self.hits[words[i]]
             around = range(max(0, i - WINDOW), min(len(words), i + WINDOW + 1))
@@ -93,13 +143,11 @@ class Scorer:
                 marked = before != "" and before in OPEN or after != "" and after in OPEN
             quote = 0.5 * report + 0.5 * marked
             quoted += quote
-            weight = weight * context * (1 - 0.6 * quote)
-            if errors:
-                wrong += weight / (1 + errors)
-            else:
-                total += weight
-                strongest = max(strongest, weight)
-        n = sum(self.hits[words[i]][1] == 0 for i in at)
+            weight = weight * context * (1 - 0.6 * quote) / (1 + errors)
+            n += 1 / (1 + errors)
+            total += weight
+            wrong += weight if errors else 0.0
+            strongest = max(strongest, weight)
         return np.array([np.log1p(n), np.log1p(total), strongest / 4, np.log1p(100 * n / len(words)), quoted / len(at), np.log1p(wrong)])
 
 
@@ -130,6 +178,25 @@ def learned(documents: list[tuple[int, bytes]], least: int = 4, odds: float = 3.
     return terms, stems
 
 
+def lexicon_of(terms: dict[str, float], stems: dict[str, float], documents: list[tuple[int, bytes]]) -> Lexicon:
+    """Fixed and learned terms; a learned one allows as many errors as keep it away from words frequent in non-toxic documents."""
+    count: Counter = Counter()
+    for y, t in documents:
+        if not y:
+            count.update(words_of(t))
+    base = {t: SURE for t in TERMS}
+    every = terms | base
+    budgets: dict[str, int] = {}
+    plain = set()
+    trial = Lexicon(every, {})
+    for w in [w for w, n in count.items() if n >= FREQUENT and w not in every] + sorted(PLAIN - every.keys()):
+        for term, errors in trial.near(w):
+            plain.add(w)
+            if term not in base:
+                budgets[term] = min(budgets.get(term, errors), errors - 1)
+    return Lexicon(every, stems, budgets=budgets, plain=frozenset(plain))
+
+
 def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 60) -> np.ndarray:
     """Logistic regression by Newton's steps."""
     a = np.concatenate((np.ones((len(x), 1)), x), axis=1)
@@ -163,17 +230,16 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_char
     # terms are learned on one half and coefficients on the other, then terms on all
     half = documents[::2]
     terms, stems = learned(half)
-    base = {t: SURE for t in TERMS}
     rest = documents[1::2]
     model = PRIOR
     if sum(y for y, _ in rest) >= 3 and any(not y for y, _ in rest):
-        scorer = Scorer(Lexicon(terms | base, stems, sure=SURE))
+        scorer = Scorer(lexicon_of(terms, stems, half))
         x, y = np.array([scorer.summary(t) for _, t in rest]), np.array([y for y, _ in rest], float)
         model = fit(x, y)
-        if model[-1] < MISSPELLED:  # labels may hold too few misspelled terms to tell; they never speak for a text
-            model = np.append(fit(x[:, :-1], y), MISSPELLED)
+        if model[-1] < 0:  # labels may hold too few misspelled terms to tell; they never speak for a text
+            model = np.append(fit(x[:, :-1], y), 0.0)
     terms, stems = learned(documents)
-    return Lexicon(terms | base, stems, sure=SURE), model
+    return lexicon_of(terms, stems, documents), model
 
 
 def score_documents(docs: DataFrame, lexicon: Lexicon, model: np.ndarray, at: float = 0.7) -> DataFrame:

@@ -73,6 +73,17 @@ def test_toxicity_on_held_out_documents(spark):
     assert np.array_equal(again, T.train(docs, labels)[1])  # held-out labels are never learned from
 
 
+def test_misspelled_terms_alone_are_found_and_frequent_words_are_not(spark):
+    d = "/root/testdata/sf0.1"
+    lexicon, model = T.train(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    texts = ["what an idjot and a morron, a stuupid", "an 1d1ot, a st*pid m0ron", "the crash of the crown, lower and closer", "release 2.0 of abc123 and h0st"]
+    got = {r.doc_id: r.predicted for r in T.score_documents(frame(spark, list(enumerate(texts))), lexicon, model).collect()}
+    assert got == {0: 1, 1: 1, 2: 0, 3: 0}
+    documents = [(1, b"zworgel quantibel")] * 5 + [(0, b"zworgem")] * 5
+    learned = T.lexicon_of({"zworgel": 4.0, "quantibel": 4.0}, {}, documents)
+    assert learned.match("quantibal") == (4.0, 1) and learned.match("zworgem") is None and learned.match("zworgal") is None and learned.match("zworgel") == (4.0, 0)
+
+
 def test_toxicity_of_odd_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     got = T.score_documents(frame(spark, ODD), *T.train(frame(spark, ODD), empty)).collect()
