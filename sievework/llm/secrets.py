@@ -9,7 +9,7 @@ Base kinds are patterns with a least length (assign, access, hex). The method ad
 Each is reported only if the decoded structure holds, so long random or encoded prose is left alone. Offsets are code points, ends exclusive.
 
 Defined results: null and empty texts have no spans (base_sha256 is of the empty string); repeated rows, null doc_ids and extra columns pass.
-Texts without any trace of a kind are told apart by searches for fixed words and by run lengths, before any pattern is tried.
+Base64 is tried at each place where a key's header can begin. Texts without any trace of a kind are told apart by searches for fixed words and by run lengths, before any pattern is tried.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import hashlib
 import json
 import re
 import struct
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,14 @@ HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{16,})(?![A-Za-z0-9_-])")
-#: Candidates: base64 whose lines may be folded, as in armoured files, and its form for URLs on one line.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]{4,})*={0,2}")
-URL_BASE64 = re.compile(r"(?<![A-Za-z0-9_=-])[A-Za-z0-9_-]{40,}={0,2}(?![A-Za-z0-9_=-])")
-LINE = re.compile(r"[^\r\n=]+")
-HEX_BYTES = re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Za-z])")
+#: Where a DER SEQUENCE or an OpenSSH key can begin in base64, whatever stands before it (a name and '=', an escaped line end).
+HEADER = re.compile(r"M(?=[C-H]|I[E-T])|AAAA(?=[B-P])|b3BlbnNzaC1rZXktdjE")
+#: What follows: base64 or its form for URLs, whose lines may be folded, as in armoured files, indented, or end in an escaped \n, as in JSON.
+FOLD = r"[ \t]*(?:(?:\\+r)?\\+n|\r\n?|\n)[ \t]*"
+BASE64 = re.compile(rf"[A-Za-z0-9+/]+(?:(?:{FOLD})+[A-Za-z0-9+/]+)*+={{0,2}}")
+URL_BASE64 = re.compile(rf"[A-Za-z0-9_-]+(?:(?:{FOLD})+[A-Za-z0-9_-]+)*+={{0,2}}")
+FOLDS = re.compile(rf"(?:{FOLD})+")
+HEX_BYTES = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Za-z])")
 KINDS = ("assign", "access", "hex", "der", "ssh", "jwt")
 SSH_TYPES = re.compile(rb"(?:ssh|ecdsa|sk-ssh|sk-ecdsa)-[a-z0-9@.-]+\Z")
 _RUN = np.zeros(256, bool)
@@ -118,22 +122,61 @@ def ssh_ends(data: bytes) -> set[int]:
     return out
 
 
-def encoded_keys(m: re.Match, url: bool = False):
-    """(kind's place, end of span) of a key that begins where the candidate does and ends where one of its lines does."""
-    ends, size = [], 0
-    for line in LINE.finditer(m[0]):
-        size += line.end() - line.start()
-        ends.append((size, line.end()))
-    joined = m[0].replace("\r", "").replace("\n", "").rstrip("=")
-    data = unbase64(joined[: len(joined) // 4 * 4] if len(joined) % 4 == 1 else joined, url)
-    if not data:
-        return
-    sizes = {der_size(data): 3} if data[0] == 0x30 else dict.fromkeys(ssh_ends(data), 4)
-    for chars, end in ends:
-        n = chars * 3 // 4
-        if -(-4 * n // 3) == chars and n in sizes and (sizes[n] == 4 or is_der_key(data[:n])):
-            yield sizes[n], m.start() + (len(m[0]) if chars == size else end)
-            return
+class Folded:
+    """Base64 from start on, its lines joined."""
+
+    def __init__(self, m: re.Match):
+        self.start, self.end = m.start(), m.end()
+        body = m[0].rstrip("=")
+        self.places, self.ends, parts, size, at = [], {}, [], 0, 0  # (joined offset, text offset) of lines; end in the text by joined end
+        for fold in [*((f.start(), f.end()) for f in FOLDS.finditer(body)), (len(body), len(body))]:
+            self.places.append((size, self.start + at))
+            parts.append(body[at : fold[0]])
+            size += fold[0] - at
+            self.ends[size] = self.start + fold[0]
+            at = fold[1]
+        self.ends[size] = self.end
+        self.joined = "".join(parts)
+
+    def offset(self, place: int) -> int:
+        """The joined offset of a place in the text, which is in one of the lines."""
+        size, at = self.places[bisect_right(self.places, place, key=lambda x: x[1]) - 1]
+        return size + place - at
+
+
+def key_at(body: Folded, at: int, url: bool) -> tuple[int, int] | None:
+    """(kind's place, end in the text) of a key that begins at the joined offset and ends where one of the lines does."""
+    if body.joined[at] == "M":
+        size = der_size(unbase64(body.joined[at : at + 8], url) or b"")
+        end = at + -(-4 * size // 3)
+        if end in body.ends and is_der_key(unbase64(body.joined[at:end], url) or b""):
+            return 3, body.ends[end]
+        return None
+    wide = 4096
+    while True:
+        taken = body.joined[at : at + wide]
+        data = unbase64(taken[: len(taken) // 4 * 4] if len(taken) % 4 == 1 else taken, url) or b""
+        for n in sorted(ssh_ends(data)):
+            end = at + -(-4 * n // 3)
+            if n >= 30 and end in body.ends:
+                return 4, body.ends[end]
+        if at + wide >= len(body.joined) or not (data.startswith(b"openssh-key-v1\0") or SSH_TYPES.match(data[4 : 4 + int.from_bytes(data[:4], "big")])):
+            return None
+        wide *= 2
+
+
+def encoded_keys(text: str, pattern: re.Pattern, url: bool = False):
+    """(start, kind's place, end) of keys in base64; one inside another is not told."""
+    body, done = None, 0
+    for m in HEADER.finditer(text):
+        if m.start() < done:
+            continue
+        if body is None or m.start() >= body.end:
+            body = Folded(pattern.match(text, m.start()))
+        found = key_at(body, body.offset(m.start()), url)
+        if found:
+            done = found[1]
+            yield m.start(), *found
 
 
 def unbase64(s: str, url: bool = False) -> bytes | None:
@@ -184,16 +227,13 @@ def _long_run(raw: bytes, table: np.ndarray, step: int, need: int) -> bool:
 
 def confirmed_spans(text: str, raw: bytes) -> list[tuple[int, int, str]]:
     out = []
-    if not _long_run(raw, _RUN, 2, 19):
-        if raw.count(b".") >= 2 and b"eyJ" in raw:
-            out += [(m.start(), 5, m.end()) for m in JWT.finditer(text) if is_token_header(m[1], m[2])]
-        return out
-    for pattern, url in ((BASE64, False), (URL_BASE64, True)):
-        out += [(m.start(), kind, end) for m in pattern.finditer(text) for kind, end in encoded_keys(m, url)]
-    for m in HEX_BYTES.finditer(text):
-        if is_der_key(bytes.fromhex(m[0])):
-            out.append((m.start(), 3, m.end()))
-    if raw.count(b".") >= 2:
+    if HEADER.search(text):
+        for pattern, url in ((BASE64, False), (URL_BASE64, True)):
+            out += encoded_keys(text, pattern, url)
+    long = _long_run(raw, _RUN, 2, 19)
+    if long:
+        out += [(m.start(), 3, m.end()) for m in HEX_BYTES.finditer(text) if is_der_key(bytes.fromhex(m[0]))]
+    if raw.count(b".") >= 2 and (long or b"eyJ" in raw):
         out += [(m.start(), 5, m.end()) for m in JWT.finditer(text) if is_token_header(m[1], m[2])]
     return sorted(set(out))
 

@@ -157,6 +157,16 @@ def test_armour_and_what_follows_are_no_part_of_a_key():
     assert [(X.KINDS[k], t[a:b]) for a, k, b in X.confirmed_spans(t, t.encode())] == [("ssh", t[2:])]
 
 
+def test_keys_are_found_whatever_stands_around_them():
+    flat, folded = base64.b64encode(PKCS8).decode(), base64.encodebytes(PKCS8).decode().strip()
+    short = "\n    ".join(flat[i : i + 32] for i in range(0, len(flat), 32))
+    escaped = folded.replace("\n", "\\n")
+    for before, key, after in (("PRIVATE_KEY=", flat, ""), ("export K=", flat, "\n"), ('"-----BEGIN PRIVATE KEY-----\\n', escaped, '\\n-----END PRIVATE KEY-----\\n"'),
+                               ("key: |\n    -----BEGIN PRIVATE KEY-----\n    ", short, "\n    -----END PRIVATE KEY-----"), ("K=0x", PKCS8.hex(), ";"), ("KEY=", url(PKCS8), " x"), ("a=", base64.b64encode(SSH).decode(), " me")):
+        t = before + key + after
+        assert {t[a:b] for a, k, b in X.confirmed_spans(t, t.encode())} == {key}, t
+
+
 def test_random_encodings_are_left_alone():
     rng = random.Random(4)
     for _ in range(300):
