@@ -161,7 +161,7 @@ class Pipeline:
             m["completeness_pct"] = facts["completeness_pct"]
             s.detail = f"{facts['completeness_pct']}% complete, {facts['duplicate_rows']} duplicate rows"
         with self.step("detect_pii", blocking=False) as s:
-            found = D.detect(raw, contract)
+            found = D.detect(raw, contract, sample=None)
             self._text("reports/pii_detection_report.txt", report.personal_data(found))
             m["pii_risk"], m["pii_columns"] = found["risk"], found["pii_columns"]
             s.detail = f"risk {found['risk']}"

@@ -394,7 +394,7 @@ def pii_hits_customers(spark, sf_dir):
 
 @query()
 def pii_findings(spark, sf_dir):
-    found = D.detect(raw_customers(spark, sf_dir), CONTRACT)
+    found = D.detect(raw_customers(spark, sf_dir), CONTRACT, sample=None)
     rows = [(c, f.declared, f.name_signal, f.pii_type, f.confidence, f.populated, f.sensitivity, f.identifiability, f.is_pii, len(f.flags)) for c, f in found["columns"].items()]
     return spark.createDataFrame(rows, "column string, declared string, name_signal string, pii_type string, confidence string, populated long, sensitivity int, identifiability string, is_pii boolean, flags int")
 

@@ -118,6 +118,18 @@ def test_detection(spark):
     assert f["email"].content["email"]["example_shape"] == "xxx@x.xxx"
 
 
+def test_personal_data_after_row_500_is_found(spark, monkeypatch):
+    from sievework import queries
+
+    df = table(spark, GOOD).crossJoin(spark.range(1200).select(F.col("id").alias("_n"))).withColumn("_row_id", F.col("_n").cast("int")).drop("_n")
+    df = df.withColumn("note", F.when(F.col("_row_id") >= 600, "mail me@x.org").otherwise("plain"))
+    monkeypatch.setattr(queries, "raw_customers", lambda spark, sf_dir: df)
+    got = {r.column: r for r in queries.pii_findings(spark, "").collect()}["note"]
+    assert got.pii_type == "email" and got.flags == 1 and got.populated == 1200
+    found = D.detect(df, CONTRACT)["columns"]["note"]
+    assert found.content["email"]["match_rate"] == 50.0 and found.confidence == "low" and D.detect(df, CONTRACT, sample=500)["columns"]["note"].pii_type is None
+
+
 def test_unicode_digits_and_words_are_content(spark):
     df = spark.createDataFrame([(0, "12 Štrasse Größe, Köln"), (1, "١٢٣-٤٥-٦٧٨٩")], "_row_id long, t string")
     hits = {r.detector: r.match_count for r in D.content_hits(df, ["t"]).collect()}
