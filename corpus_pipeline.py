@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sievework.llm import decontaminate, jaccard_join, mixture, ordinal_quality, token_output
-from sievework.llm.common import load, shared_dir, stage, without
+from sievework.llm.common import load, numbered, shared_dir, stage, without
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,14 +17,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least doc_id, of each class of word five-grams with a Jaccard similarity of 0.8 or more."""
-    classes = stage(jaccard_join.jaccard_classes(docs, k=5, percent=80), "classes")
-    return without(docs, classes.where("doc_id <> component_id"))
+    """One row, of the least doc_id (null last), of each class of word five-grams with a Jaccard similarity of 0.8 or more."""
+    rows = numbered(docs)
+    classes = stage(jaccard_join.jaccard_classes(rows.withColumn("doc_id", F.col("row_key")), k=5, percent=80), "classes")
+    others = classes.where("doc_id <> component_id").select("component_id", F.col("doc_id").alias("row_key"))
+    members = others.unionByName(others.select("component_id", F.col("component_id").alias("row_key")).distinct())
+    best = members.join(rows.select("row_key", "doc_id"), "row_key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("b"))
+    return without(rows, stage(without(members, best.select("b.row_key"), "row_key"), "copies"), "row_key").drop("row_key")
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item aligns with."""
-    return without(docs, stage(decontaminate.contaminated_pairs(docs, load(spark, sf_dir, "benchmark")), "leaks"))
+    rows = numbered(docs)
+    pairs = decontaminate.contaminated_pairs(rows.withColumn("doc_id", F.col("row_key")), load(spark, sf_dir, "benchmark"))
+    return without(rows, stage(pairs.select(F.col("doc_id").alias("row_key")), "leaks"), "row_key").drop("row_key")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

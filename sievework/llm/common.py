@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +60,14 @@ def without(docs: DataFrame, drop: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(F.broadcast(drop) if small else drop, key, "left_anti")
 
 
+def numbered(docs: DataFrame, key: str = "row_key") -> DataFrame:
+    """docs with a key of each row, the same whenever it is read: a hash of file and place in it, or for other tables a number in a staged copy."""
+    try:
+        return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(key))
+    except AnalysisException:
+        return stage(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+
+
 def text_rows(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns kept, and text as UTF-8 bytes, a null as empty; whatever else docs has is not read."""
     return docs.select(*keep, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))

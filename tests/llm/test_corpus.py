@@ -198,3 +198,17 @@ def test_pipeline_stages(spark, tmp_path):
     mixed = {r.doc_id: r.n for r in spark.read.parquet(f"{tmp_path}/3").groupBy("doc_id").agg(F.sum(M.word_count(F.col("text"))).alias("n")).collect()}
     assert mixed == {r.doc_id: r.taken for r in M.mix(spark.read.parquet(f"{tmp_path}/2")).collect() if r.taken}
     assert spark.read.parquet(f"{tmp_path}/4").count() == spark.read.parquet(f"{tmp_path}/3").count()
+
+
+def test_stages_drop_rows_and_not_ids(spark, tmp_path):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    benchmark = spark.createDataFrame([(1, c)], "item_id long, text string")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(7, a, "s"), (7, a, "s"), (None, a, "s"), (7, b, "s"), (None, b, "s"), (3, a, "s"), (8, None, "s"), (None, None, "s")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/1")
+    for docs in (spark.read.parquet(f"{tmp_path}/1"), frame(spark, rows)):
+        got = corpus_pipeline.near_duplicates(spark, docs, f"{tmp_path}")
+        assert got.columns == docs.columns and sorted(map(str, ((r.doc_id, (r.text or "-")[0]) for r in got.collect()))) == sorted(map(str, [(3, "a"), (7, "b"), (8, "-"), (None, "-")]))
+    frame(spark, [(5, c, "s"), (5, a, "s"), (None, c, "s"), (None, b, "s"), (6, None, "s")]).write.parquet(f"{tmp_path}/2")
+    left = corpus_pipeline.leaks(spark, spark.read.parquet(f"{tmp_path}/2"), f"{tmp_path}").collect()
+    assert sorted(map(str, ((r.doc_id, (r.text or "-")[0]) for r in left))) == sorted(map(str, [(5, "a"), (None, "b"), (6, "-")]))
