@@ -215,18 +215,21 @@ def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 60) -> np.
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_chars: int = 30_000_000) -> tuple[Lexicon, np.ndarray]:
-    """Lexicon and coefficients. At most max_labelled documents, of max_chars characters together, come to the driver."""
+    """Lexicon and coefficients. At most max_labelled documents, of max_chars bytes together, come to the driver; a text that doesn't fit is passed over."""
     marks = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     picked = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    sample = text_rows(docs, "doc_id").join(F.broadcast(picked), "doc_id")
-    # a document gives its distinct words and context-free rest only when scored; here its whole text, compressed by the transfer
-    got = sample.select(F.xxhash64("doc_id").alias("h"), "doc_id", "toxic", "text").toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
-    documents, size = [], 0
-    for y, t in zip(got["toxic"].to_pylist(), got["text"].to_pylist()):
-        size += len(t)
-        if size > max_chars:
-            break
-        documents.append((y, t))
+    sample = text_rows(docs, "doc_id").join(F.broadcast(picked), "doc_id").withColumn("t", F.xxhash64("text"))
+    sizes = sample.select(F.xxhash64("doc_id").alias("h"), "doc_id", "t", F.octet_length("text").alias("size")).where(F.col("size") <= max_chars).distinct()
+    chosen, size = [], 0
+    for r in sizes.orderBy("h", "doc_id", "t").limit(max_labelled).collect():
+        if size + r.size <= max_chars:
+            size += r.size
+            chosen.append((r.doc_id, r.t))
+    fits = docs.sparkSession.createDataFrame(chosen, sizes.select("doc_id", "t").schema)
+    # a repeated row counts once
+    got = sample.join(F.broadcast(fits), ["doc_id", "t"]).groupBy("doc_id", "t").agg(F.first("toxic").alias("toxic"), F.first("text").alias("text"))
+    got = got.select(F.xxhash64("doc_id").alias("h"), "doc_id", "t", "toxic", "text").toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending"), ("t", "ascending")])
+    documents = list(zip(got["toxic"].to_pylist(), got["text"].to_pylist()))
     # terms are learned on one half and coefficients on the other, then terms on all
     half = documents[::2]
     terms, stems = learned(half)

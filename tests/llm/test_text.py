@@ -73,6 +73,15 @@ def test_toxicity_on_held_out_documents(spark):
     assert np.array_equal(again, T.train(docs, labels)[1])  # held-out labels are never learned from
 
 
+def test_a_long_labelled_text_is_passed_over(spark):
+    rows = [(i, f"zworgel {i}" if i % 2 else f"fine {i}") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    want = T.train(frame(spark, rows), labels, max_chars=10_000)
+    assert "zworgel" in want[0].names.values() and not np.array_equal(want[1], T.PRIOR)
+    rest = T.train(frame(spark, rows + [(j, "long " * 5000) for j in range(0, 200, 2)]), labels, max_chars=10_000)
+    assert np.array_equal(rest[1], want[1]) and rest[0].names == want[0].names
+
+
 def test_misspelled_terms_alone_are_found_and_frequent_words_are_not(spark):
     d = "/root/testdata/sf0.1"
     lexicon, model = T.train(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
