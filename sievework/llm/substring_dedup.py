@@ -6,7 +6,7 @@
    about three rows per hundred bytes, sent as blocks by hash range. Rows of equal content are settled by hash: the earliest stays, the others are
    repeats; within a task this happens before the shuffle, so a passage in a third of all documents sends a row a task.
 3. Minimizers that span different contents (where shared passages begin and end) are compared byte by byte: their bytes meet by hash range, where a suffix
-   order cut at `length` and the smaller positions in it (suffixes.repeated_windows) tell which windows stand earlier.
+   order cut at `length` (suffixes.repeated_windows) tells which windows stand earlier: all but the first of a run. No LPF array is computed.
 4. Spans of all repeats are merged per document.
 
 Earlier means a smaller doc_id, or an earlier start in the same document. Defined results: null texts are empty; texts shorter than `length` lose nothing;
