@@ -1,20 +1,21 @@
 """Token-ID output: texts are encoded with a public tokenizer and kept as Re-Pair grammar shards, in ascending doc_id order.
 
-The file format is Parquet: a row is a shard (grammar.Shard in bytes) of up to `SHARD_IDS` ids of consecutive documents with their doc_ids, its range
-partition and its place there, and where its ids begin within that partition. Shards of a partition are made by one task and each
+The file format is Parquet: a row is a shard (grammar.Shard in bytes) of up to `SHARD_IDS` ids of consecutive documents with their doc_ids and the least and
+greatest of them, its range partition and its place there, and where its ids begin within that partition. Shards of a partition are made by one task and each
 stands alone; Spark's committer publishes each task's files once, whichever attempt wins. Any document is decoded from its shard's rules
-and its own symbols.
+and its own symbols (read_documents).
 
 Text is cut at ASCII white space before encoding, which the tokenizer drops anyway and across which it merges nothing, and signs are cut off words as
 it does; each distinct piece is encoded once a worker, with add_special_tokens=False, and looked up by hash and length from then on.
 
 Defined results: null and empty texts are the end id alone; null doc_ids come first; rows that repeat a doc_id stand side by
-side in no stated order; an empty table has no rows; extra columns are not read.
+side, ordered by the bytes of their ids; an empty table has no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import uuid
 import zlib
 
@@ -29,6 +30,7 @@ from .grammar import Shard, compress
 from .textnum import U, mix, prefix_sums, runs, word_spans
 
 SHARD_IDS = 1 << 17
+FILES = "part int, place int, begins long, n_ids long, least long, greatest long, doc_ids array<long>, data binary"
 END = 1
 #: Distinct pieces that a worker remembers; then it forgets all and goes on.
 PIECES = 1_000_000
@@ -88,27 +90,37 @@ class Encoder:
         self.ids, self.used = np.empty(1 << 20, self.kind), 0
 
     def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _plain(self, words: list[bytes]) -> list[np.ndarray] | None:
-        """Ids of letters-only words, encoded as one text and cut where words end; None if they don't come apart so."""
+    def _plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of letters-only words, encoded as one text, and how many each has by where words end; None if they don't come apart so."""
         ids = np.array(self._ids(b" ".join(words).decode()), self.kind)
-        cut = np.flatnonzero(self.ends[ids]) + 1
-        return np.split(ids, cut[:-1]) if len(cut) == len(words) and cut[-1] == len(ids) else None
-
-    def _new(self, words: list[bytes]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(words)
-        letters = [i for i, w in enumerate(words) if w.isalpha() or not w.isascii() and w.decode().isalpha()] if self.shares and self.ends.any() else []
-        for i in range(0, len(letters), JOINED):
-            some = letters[i : i + JOINED]
-            for k, x in zip(some, self._plain([words[k] for k in some]) or ()):
-                out[k] = x
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i in range(0, len(rest), 20_000):
-            some = rest[i : i + 20_000]
-            for k, e in zip(some, self.tokenizer.encode_batch_fast([words[k].decode() for k in some], add_special_tokens=False)):
-                out[k] = np.array(e.ids, self.kind)
-        return out
+        cut = np.flatnonzero(self.ends[ids])
+        return (ids, np.diff(cut, prepend=-1)) if len(cut) == len(words) and cut[-1] == len(ids) - 1 else None
+
+    def _new(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after the other, and how many each has."""
+        plain = np.array([w.isalpha() or not w.isascii() and w.decode().isalpha() for w in words]) if self.shares and self.ends.any() else np.zeros(len(words), bool)
+        parts, counts, order = [], [], []
+        letters, rest = np.flatnonzero(plain), [np.flatnonzero(~plain)]
+        for some in np.split(letters, range(JOINED, len(letters), JOINED)):
+            found = self._plain([words[k] for k in some.tolist()]) if len(some) else None
+            if found:
+                parts.append(found[0])
+                counts.append(found[1])
+                order.append(some)
+            else:
+                rest.append(some)
+        for some in np.split(rest := np.concatenate(rest), range(20_000, len(rest), 20_000)):
+            each = [e.ids for e in self.tokenizer.encode_batch_fast([words[k].decode() for k in some.tolist()], add_special_tokens=False)]
+            parts.append(np.fromiter(itertools.chain.from_iterable(each), self.kind))
+            counts.append(np.array([len(x) for x in each], np.int64))
+            order.append(some)
+        order, count, ids = np.concatenate(order), np.concatenate(counts), np.concatenate(parts)
+        begins = np.empty(len(words), np.int64)
+        begins[order], amount = np.cumsum(count) - count, np.empty(len(words), np.int64)
+        amount[order] = count
+        return ids[np.repeat(begins - np.cumsum(amount) + amount, amount) + np.arange(len(ids))], amount
 
     @staticmethod
     def _find(table, hashes, lengths) -> np.ndarray:
@@ -143,10 +155,8 @@ class Encoder:
             todo &= ~hit
         todo = np.flatnonzero(todo)
         if len(todo):
-            fresh = self._new([raw[i:j] for i, j in zip(s[one[todo]].tolist(), e[one[todo]].tolist())])
-            amount[todo] = [len(x) for x in fresh]
+            more, amount[todo] = self._new([raw[i:j] for i, j in zip(s[one[todo]].tolist(), e[one[todo]].tolist())])
             place[todo] = self.used + np.cumsum(amount[todo]) - amount[todo]
-            more = np.concatenate(fresh)
             if self.used + len(more) > len(self.ids):
                 self.ids = np.concatenate((self.ids, np.empty(max(len(self.ids), len(more)), self.kind)))
             self.ids[self.used : self.used + len(more)] = more
@@ -209,8 +219,8 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = END) -> Non
             yield batch(ids, names, [x.tobytes() for x in coder.encode(texts, end)])
 
     encoded = stage(map_arrow(text_rows(docs, F.col("doc_id").cast("long").alias("doc_id")), encode, "doc_id long, ids binary"), "ids")
-    vocabulary, kind = encoder(tokenizer).vocabulary, encoder(tokenizer).kind
-    shards = pa.schema([("part", pa.int32()), ("place", pa.int32()), ("begins", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("data", pa.binary())])
+    kind = encoder(tokenizer).kind
+    shards = pa.schema([("part", pa.int32()), ("place", pa.int32()), ("begins", pa.int64()), ("n_ids", pa.int64()), ("least", pa.int64()), ("greatest", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("data", pa.binary())])
 
     def pack(batches):
         part, place, begins = TaskContext.get().partitionId(), 0, 0
@@ -218,8 +228,9 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = END) -> Non
 
         def flush():
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in held]))).astype(np.int64)
-            shard = compress(np.concatenate(held), offsets, vocabulary)
-            return batch(shards, [part], [place], [begins], [size], [names], [shard.to_bytes()])
+            shard = compress(np.concatenate(held), offsets)
+            there = [d for d in names if d is not None]
+            return batch(shards, [part], [place], [begins], [size], [min(there, default=None)], [max(there, default=None)], [names], [shard.to_bytes()])
 
         for b in batches:
             for d, x in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
@@ -233,15 +244,15 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = END) -> Non
         if held:
             yield flush()
 
-    ordered = encoded.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    packed = map_arrow(ordered, pack, "part int, place int, begins long, n_ids long, doc_ids array<long>, data binary")
+    ordered = encoded.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+    packed = map_arrow(ordered, pack, FILES)
     packed.write.option("compression", "zstd").parquet(path)
     unstage(encoded)
 
 
 def read_ids(spark, path: str) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32, decoded shard by shard."""
-    files = spark.read.schema("part int, place int, begins long, n_ids long, doc_ids array<long>, data binary").parquet(path)
+    files = spark.read.schema(FILES).parquet(path)
     sums = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     base = sums.select(F.col("part").alias("of"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     few = sums.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -259,6 +270,23 @@ def read_ids(spark, path: str) -> DataFrame:
     return rows.join(F.broadcast(base) if few else base, F.col("part") == F.col("of")).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def read_documents(spark, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id and ids of the documents named. Only shards that hold one are read, and of those only the documents' own symbols are expanded."""
+    wanted = sorted(set(doc_ids))
+    files = spark.read.schema(FILES).parquet(path).where(functools.reduce(lambda a, b: a | b, [(F.col("least") <= d) & (F.col("greatest") >= d) for d in wanted], F.lit(False)))
+    out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
+
+    def decode(batches):
+        for b in batches:
+            for names, data in zip(b.column("doc_ids").to_pylist(), b.column("data").to_pylist()):
+                at = [k for k, d in enumerate(names) if d in wanted]
+                if at:
+                    shard = Shard.from_bytes(data)
+                    yield batch(out, [names[k] for k in at], [shard.document(k).tolist() for k in at])
+
+    return map_arrow(files.select("doc_ids", "data"), decode, "doc_id long, ids array<long>")
+
+
 def round_trip(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"

@@ -122,21 +122,67 @@ def test_mix_of_odd_rows(spark):
     assert M.mix(frame(spark, [])).count() == 0 and M.mixed_documents(frame(spark, [])).count() == 0
 
 
-@settings(max_examples=80, deadline=None)
+def replaced(docs, pair, new):
+    out, n = [], 0
+    for d in docs:
+        x, i = [], 0
+        while i < len(d):
+            if i + 1 < len(d) and (d[i], d[i + 1]) == pair:
+                x.append(new)
+                i, n = i + 2, n + 1
+            else:
+                x.append(d[i])
+                i += 1
+        out.append(x)
+    return out, n
+
+
+def repair_by_hand(docs, least):
+    """Re-Pair, one most frequent pair after the other: symbols left, and rules."""
+    rules = 0
+    while True:
+        found = max(((replaced(docs, p, -1)[1], p) for p in {(a, b) for d in docs for a, b in zip(d, d[1:])}), default=(0, None))
+        if found[0] < least:
+            return sum(map(len, docs)), rules
+        rules += 1
+        docs = replaced(docs, found[1], 1000 + rules)[0]
+
+
+@settings(max_examples=150, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 4), max_size=40), max_size=12), st.integers(2, 5))
 def test_grammars_decode_to_what_they_hold(docs, least):
     offsets = np.concatenate(([0], np.cumsum([len(d) for d in docs]))).astype(np.int64)
     ids = np.array([x for d in docs for x in d], np.uint32)
-    s = Shard.from_bytes(compress(ids, offsets, 10, least=least, worth=0.0).to_bytes())
+    s = Shard.from_bytes(compress(ids, offsets, least).to_bytes())
     assert [s.document(k).tolist() for k in range(len(docs))] == docs
     every, at = s.all_ids()
     assert every.tolist() == ids.tolist() and at.tolist() == offsets.tolist()
-    assert [len(s.expand(np.array([s.first + k], np.uint32))) for k in range(len(s.rules))] == s.lengths.tolist()
-
-
-def test_grammars_shorten_repetition():
-    ids = np.tile(np.arange(8, dtype=np.uint32), 1000)
-    assert len(compress(ids, np.array([0, len(ids)]), 10).symbols) <= len(ids) // 4
+    assert [len(s.expand(np.array([len(s.ids) + k]))) for k in range(len(s.rules))] == s.lengths.tolist()
+    # no pair is left that stands `least` times, and each rule is used as often or within others
+    left = [s.symbols[i:j].tolist() for i, j in zip(s.offsets[:-1], s.offsets[1:])]
+    assert all(replaced(left, p, -1)[1] < least for p in {(a, b) for d in left for a, b in zip(d, d[1:])})
+    by_hand = repair_by_hand(docs, least)
+    assert len(s.symbols) + len(s.rules) <= 1.35 * sum(by_hand) + 4
+
+
+def test_grammars_equal_the_plain_method_where_no_pairs_compete():
+    docs = [[1, 2, 3, 4, 5, 6, 7, 8], [9, 1, 2, 3, 4], [1, 2, 3, 4, 9, 5, 6], [1, 2, 5, 6, 9]]
+    s = compress(np.concatenate(docs), np.cumsum([0, *map(len, docs)]))
+    assert (len(s.symbols), len(s.rules)) == repair_by_hand(docs, 3) and (s.rules >= len(s.ids)).any()
+
+
+def test_grammars_are_deep_and_smaller_than_plain_ids(spark):
+    ids = np.tile(np.arange(8), 1000)
+    assert len(compress(ids, np.array([0, len(ids)])).to_bytes()) < 100
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy("doc_id").limit(1500).collect()
+    ids = [O.Encoder(TOKENIZER).encode([(r.text or "").encode() for r in docs])][0]
+    offsets = np.cumsum([0, *map(len, ids)])
+    s = compress(np.concatenate(ids), offsets)
+    depth = np.ones(len(s.ids) + len(s.rules), int)
+    for k, (a, b) in enumerate(s.rules.tolist()):
+        depth[len(s.ids) + k] = 1 + max(depth[a], depth[b])
+    assert depth.max() > 6 and len(s.to_bytes()) < 0.65 * 2 * offsets[-1]
+    assert np.array_equal(Shard.from_bytes(s.to_bytes()).document(700), ids[700])
 
 
 HARD = ["Hello, World!", "l'État c'est moi", "a.b", "x... y!!! z?!", "é,", "»., n", "ÀÉ İstanbul ǅ ß ΑΣ", "tab\tnew\nline\x0bvt\x0cff", "no break space", "日本語テキスト", "<|endoftext|> <|startoftext|>x <|ENDOFTEXT|>",
@@ -152,7 +198,7 @@ def test_encoding_equals_the_tokenizer():
         assert [x.tolist() for x in coder.encode([x.encode() for x in texts])] == [t.encode(x, add_special_tokens=False).ids + [1] for x in texts]
 
 
-def test_token_files_round_trip(spark, monkeypatch):
+def test_token_files_round_trip(spark, tmp_path):
     t = Tokenizer.from_file(TOKENIZER)
     rng = random.Random(4)
     rows = [(rng.randrange(10**9), " ".join(rng.choice(HARD) for _ in range(rng.randrange(0, 40))), "s") for _ in range(300)] + [(5, None, None), (6, "", "s")]
@@ -163,6 +209,10 @@ def test_token_files_round_trip(spark, monkeypatch):
         assert got[i] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert O.round_trip(frame(spark, []), TOKENIZER).count() == 0
+    O.write_ids(frame(spark, rows), TOKENIZER, f"{tmp_path}/ids")
+    some = dict(rows[k][:2] for k in (3, 77, -1))
+    one = {r.doc_id: r.ids for r in O.read_documents(spark, f"{tmp_path}/ids", [*some, 123]).collect()}
+    assert one == {i: t.encode(x, add_special_tokens=False).ids + [1] for i, x in some.items()}
     odd = O.round_trip(frame(spark, [(None, "a", "s"), (1, "b", "s"), (1, "c", "s")]), TOKENIZER).collect()
     assert sorted(r.start for r in odd) == [0, 2, 4]
 
