@@ -33,7 +33,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{16,})(?![A-Za-z0-9_-])")
+JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,}+)\.([A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]{16,}+)")
+#: What every signed token holds from its first dot on.
+DOTTED = re.compile(rb"\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]{16}")
 #: Where a DER SEQUENCE or an OpenSSH key can begin in base64, whatever stands before it (a name and '=', an escaped line end).
 HEADER = re.compile(r"M(?=[C-H]|I[E-T])|AAAA(?=[B-P])|b3BlbnNzaC1rZXktdjE")
 #: What follows: base64 or its form for URLs, whose lines may be folded, as in armoured files, indented, or end in an escaped \n, as in JSON.
@@ -48,8 +50,8 @@ _RUN = np.zeros(256, bool)
 _RUN[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]] = True
 _HEXCHAR = np.zeros(256, bool)
 _HEXCHAR[[*b"0123456789abcdef"]] = True
-#: Deepest nesting that a DER structure is followed to.
-DEPTH = 12
+#: Deepest nesting that a DER structure is followed to, far beyond any key's (under 10), so that hostile bytes end the search and not the task.
+DEPTH = 100
 
 
 def der_elements(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
@@ -230,14 +232,23 @@ def confirmed_spans(text: str, raw: bytes) -> list[tuple[int, int, str]]:
     if HEADER.search(text):
         for pattern, url in ((BASE64, False), (URL_BASE64, True)):
             out += encoded_keys(text, pattern, url)
-    long = _long_run(raw, _RUN, 2, 19)
-    if long:
+    if _long_run(raw, _RUN, 2, 19):
         out += [(m.start(), 3, m.end()) for m in HEX_BYTES.finditer(text) if is_der_key(bytes.fromhex(m[0]))]
-    if raw.count(b".") >= 2 and (long or b"eyJ" in raw):
-        out += [(m.start(), 5, m.end()) for m in JWT.finditer(text) if is_token_header(m[1], m[2])]
+    if DOTTED.search(raw):
+        out += signed_tokens(text)
     return sorted(set(out))
 
 
+def signed_tokens(text: str):
+    """Spans of tokens, leftmost first; where three parts are none, the next ones may begin with the second of them."""
+    m = JWT.search(text)
+    while m:
+        good = is_token_header(m[1], m[2])
+        if good:
+            yield m.start(), 5, m.end()
+        m = JWT.search(text, m.end() if good else m.end(1) + 1)
+
+
 def shown(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
