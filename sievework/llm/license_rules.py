@@ -148,6 +148,90 @@ cc-url | 0.9 | creativecommons | creativecommons org publicdomain (zero|mark) 1
 public-domain | 0.93 | domain | (dedicated|released|placed) (to|into|in) the public domain
 public-domain | 0.8 | domain | (is|are) in the public domain
 public-domain | 0.8 | copyrighted | this (work|document|software) is not copyrighted
+apache-2.0 | 0.93 | apache | (this product includes|portions of this) software developed (at|by) the apache software foundation
+apache-2.0 | 0.95 | limitations | see the license for the specific language governing permissions and limitations under the license
+apache-2.0 | 0.9 | as | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+apache-2.0-llvm | 0.97 | llvm | apache license v2 0 with llvm exceptions?
+mit | 0.97 | notice | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+mit | 0.9 | warranty | the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+mit-modern | 0.9 | mit | modern (style )?mit licen[sc]e
+mit-advertising | 0.93 | enlightenment | enlightenment licen[sc]e
+expat | 0.93 | expat | (the )?expat licen[sc]e
+isc | 0.9 | author | the software is provided as is and the author disclaims all warranties with regard to this software
+hpnd | 0.93 | historical | historical permission notice and disclaimer
+bsd-source-code | 0.93 | redistributions | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+bsd-2-clause | 0.9 | redistributions | redistributions in binary form must reproduce the above copyright notice
+bsd-3-clause | 0.93 | contributors | neither the name of the copyright holder nor the names of its contributors
+bsd-3-clause-clear | 0.95 | clear | (the )?clear bsd licen[sc]e
+bsd-1-clause | 0.95 | bsd | (1|one) clause bsd( licen[sc]e)?
+bsd-patent | 0.95 | patent | bsd (2 clause )?plus patent licen[sc]e
+bsd-protection | 0.93 | protection | bsd protection licen[sc]e
+gpl | 0.93 | free | (this program is free software you can|you can) redistribute it and or modify it under the terms of the gnu general public license
+gpl | 0.9 | useful | is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose
+gpl | 0.85 | copy | you should have received a copy of the gnu general public license along with this (program|library|work|software)
+lgpl | 0.87 | copy | you should have received a copy of the gnu (lesser|library) general public license along with this (program|library|work|software)
+agpl | 0.88 | copy | you should have received a copy of the gnu affero general public license along with this (program|library|work|software)
+gpl | 0.9 | copyleft | everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed
+gpl-3.0-linking | 0.95 | linking | (gplv3|gpl 3) (with )?linking exception
+gnu-all-permissive | 0.95 | copying | copying and distribution of this file with or without modification are permitted in any medium without royalty
+gfdl | 0.95 | invariant | with no invariant sections( with)? no front cover texts and( with)? no back cover texts
+mpl-2.0 | 0.97 | mpl | this source code form is subject to the terms of the mozilla public license v 2 0
+mpl-1.1 | 0.93 | mozilla | the contents of this file are subject to the mozilla public license version 1 1
+npl-1.1 | 0.95 | netscape | netscape public license( version)?( 1 1)?
+epl-2.0 | 0.95 | eclipse | (made available|accompanying materials are made available) under the terms of the eclipse public license( v)? 2 0
+cecill-b | 0.95 | cecill | cecill b( free software)?( licen[sc]e)?
+cecill-c | 0.95 | cecill | cecill c( free software)?( licen[sc]e)?
+cpal-1.0 | 0.95 | attribution | common public attribution license( version)?( 1 0)?
+ipl-1.0 | 0.95 | ibm | ibm public license( version)?( 1 0)?
+apsl-2.0 | 0.95 | apple | apple public source license( version)?( 2 0)?
+rpl-1.5 | 0.95 | reciprocal | reciprocal public license( version)?( 1 5)?
+rpsl-1.0 | 0.95 | realnetworks | realnetworks public source license( v1 0)?
+qpl-1.0 | 0.95 | public | (the )?q public license( version)?( 1 0)?
+spl-1.0 | 0.93 | sun | sun public license( version)?( 1 0)?
+sissl | 0.93 | industry | sun industry standards source license
+lppl-1.3c | 0.96 | latex | latex project public license( version)?( 1 3c?)?( or (at your option )?any later version)?
+osl-3.0 | 0.93 | open | licensed under the open software license version 3 0
+sleepycat | 0.95 | sleepycat | (the )?sleepycat licen[sc]e
+oldap-2.8 | 0.95 | openldap | openldap public license( version)?( 2 8)?
+zpl-2.1 | 0.95 | zope | zope public license( zpl)?( version)?( 2 1)?
+ijg | 0.95 | jpeg | this software is based in part on the work of the independent jpeg group
+ftl | 0.95 | freetype | (the )?freetype (project )?licen[sc]e
+imagemagick | 0.95 | imagemagick | imagemagick licen[sc]e
+cube | 0.9 | cube | cube game engine source code license
+json | 0.95 | evil | the software shall be used for good not evil
+bittorrent-1.1 | 0.95 | bittorrent | bittorrent open source license( version)?( 1 1)?
+watcom-1.0 | 0.95 | watcom | sybase open watcom public license( version)?( 1 0)?
+intel | 0.9 | intel | intel (open source|simplified software) licen[sc]e
+nvidia | 0.9 | nvidia | nvidia (software|source code) licen[sc]e( agreement)?
+oracle-bcl | 0.93 | oracle | oracle binary code license agreement
+otn | 0.93 | oracle | oracle technology network (developer )?licen[sc]e( agreement)?
+unrar | 0.93 | unrar | unrar (source )?(licen[sc]e|restriction)
+info-zip | 0.95 | zip | info zip licen[sc]e
+bzip2 | 0.93 | bzip2 | bzip2 (and libbzip2 )?licen[sc]e
+tcl | 0.93 | tcl | tcl tk licen[sc]e
+hippocratic | 0.95 | hippocratic | hippocratic license( version)?( [123] [01])?
+anti-996 | 0.95 | 996 | anti 996 license
+parity-7.0 | 0.95 | parity | parity public license( 7 0 0)?
+prosperity-3.0 | 0.95 | prosperity | prosperity public license( 3 0 0)?
+fsl-1.1 | 0.95 | functional | functional source license( version)?( 1 1)?
+confluent | 0.95 | confluent | confluent community license( agreement)?( version 1 0)?
+timescale | 0.95 | timescale | timescale license( agreement)?
+openrail | 0.95 | rail | (open|creativeml open|bigscience)( responsible ai)?( licen[sc]es?)? rail( m)?( licen[sc]e)?
+llama | 0.95 | llama | llama [234]? ?(\d )?community licen[sc]e( agreement)?
+gemma | 0.93 | gemma | gemma (terms of use|licen[sc]e)
+dl-de-by-2.0 | 0.95 | datenlizenz | datenlizenz deutschland namensnennung( version)? 2 0
+odc-odbl | 0.93 | database | made available under the open database licen[sc]e
+cdla-permissive | 0.95 | community | community data license agreement permissive( version)?( [12] 0)?
+cdla-sharing | 0.95 | community | community data license agreement sharing( version)?( 1 0)?
+fal-1.3 | 0.95 | art | (free art license|licence art libre)( 1 3)?
+ogl-canada | 0.95 | canada | open government licen[sc]e canada
+eu-decision | 0.85 | reuse | reuse is authori[sz]ed provided the source is acknowledged
+us-government-work | 0.9 | government | (is|are) (a )?works? of the (united states|u s|us) government
+crown-copyright | 0.9 | crown | crown copyright( (19|20)[0-9]{2})?
+reservados | 0.9 | derechos | todos los derechos reservados
+reserves | 0.9 | droits | tous droits réservés
+vorbehalten | 0.9 | rechte | alle rechte vorbehalten
+riservati | 0.9 | diritti | tutti i diritti riservati
 proprietary | 0.93 | confidential | (proprietary and confidential|confidential and proprietary)
 proprietary | 0.93 | prohibited | unauthori[sz]ed (copying|reproduction|distribution|use)( or distribution)?( of this (file|document|work|software))?( via any medium)? is (strictly )?prohibited
 proprietary | 0.9 | reproduced | no part of this (publication|work|book|document) may be reproduced

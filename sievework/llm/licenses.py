@@ -1,8 +1,9 @@
 """License scans by ordered signature rules.
 
 A text is reduced to its lower-cased words. Rules (license_rules) whose keyword isn't among the bytes are not tried.
-Matches begin and end at words. A match that lies within one of higher priority is suppressed, as is one that overlaps it in part;
-of equal rules the earlier and longer match stays. score is the chance that any of the remaining detections is right, each taken
+Matches begin and end at words. A match that lies within one of higher priority, or that is the same as it, is suppressed; matches that overlap in part both
+stay. Rules are taken by falling priority, and those that decide are kept as intervals of which none lies within another, in order, so each
+match is one bisection. score is the chance that any of the remaining detections is right, each taken
 with its rule's confidence; base phrases that no detection covers count 0.5.
 
 Base phrases are counted wherever their words stand consecutively, however rules decide.
@@ -14,7 +15,10 @@ score 0; repeated rows, null doc_ids and extra columns pass.
 from __future__ import annotations
 
 import functools
+import itertools
+import math
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,14 +47,23 @@ def places(flat: bytes, phrase: bytes) -> list[int]:
 
 
 def detections(flat: bytes) -> list[tuple[int, int, str, float]]:
-    """(start, end, label, confidence) of matches that no other suppresses. flat: words with a space around each."""
+    """(start, end, label, confidence) of matches that no other suppresses, by start. flat: words with a space around each."""
     words, made = compiled()
     there = {w for w in words if w in flat}
-    found = [(k, m.start(), m.end(), label, conf) for k, label, conf, word, pattern in made if word in there for m in pattern.finditer(flat)]
+    starts: list[int] = []  # of matches found so far that lie in no other; both lists rise
+    ends: list[int] = []
     kept: list[tuple[int, int, str, float]] = []
-    for _, s, e, label, conf in sorted(found, key=lambda x: (x[0], x[1], -x[2])):
-        if not any(s < b and a < e for a, b, *_ in kept):
+    for _, label, conf, word, pattern in made:
+        if word not in there:
+            continue
+        for m in pattern.finditer(flat):
+            s, e = m.span()
+            k = bisect_right(starts, s)
+            if k and ends[k - 1] >= e:
+                continue
             kept.append((s, e, label, conf))
+            lo, hi = bisect_left(starts, s), bisect_right(ends, e)
+            starts[lo : max(lo, hi)], ends[lo : max(lo, hi)] = [s], [e]
     return sorted(kept)
 
 
@@ -59,15 +72,12 @@ def scan(text: bytes) -> tuple:
     flat = b" " + b" ".join(words) + b" "
     base = [(p, label) for phrase, label in PHRASES for p in places(flat, phrase)]
     kept = detections(flat)
-    miss = 1.0
-    for _, _, _, conf in kept:
-        miss *= 1 - conf
-    for p, _ in base:
-        if not any(s <= p < e for s, e, *_ in kept):
-            miss *= 0.5
-    at = sorted(flat.count(b" ", 0, p) - 1 for p, _ in base)
+    begins, upto = [s for s, *_ in kept], list(itertools.accumulate((e for _, e, *_ in kept), max))
+    bare = sum(1 for p, _ in base if not (k := bisect_right(begins, p)) or upto[k - 1] <= p)
+    miss = math.prod(1 - conf for _, _, _, conf in kept) * 0.5**bare
+    at = [flat.count(b" ", 0, p) - 1 for p in (min(base)[0], max(base)[0])] if base else [None, None]
     own = sorted({label for _, label in base})
-    return len(words), len(base), at[0] if at else None, at[-1] if at else None, ",".join(own), ",".join(sorted({*own, *(d[2] for d in kept)})), 1 - miss
+    return len(words), len(base), *at, ",".join(own), ",".join(sorted({*own, *(d[2] for d in kept)})), 1 - miss
 
 
 def find_licenses(docs: DataFrame) -> DataFrame:

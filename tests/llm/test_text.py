@@ -17,7 +17,7 @@ from sievework.llm import ordinal_quality as Q
 from sievework.llm import secrets as X
 from sievework.llm import toxicity as T
 from sievework.llm.levenshtein import Lexicon
-from sievework.llm.license_rules import rules
+from sievework.llm.license_rules import WRITTEN, rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, score string"
 
@@ -176,6 +176,46 @@ def test_keys_are_found_whatever_stands_around_them():
         assert {t[a:b] for a, k, b in X.confirmed_spans(t, t.encode())} == {key}, t
 
 
+def spans_by_hand(text):
+    """Flat keys and tokens: every start tried, the end that the run of characters has; leftmost ones first."""
+    out, done = [], 0
+    for m in re.finditer(r"[A-Za-z0-9+/]+={0,2}", text):
+        for i in range(m.start(), m.end()):
+            body = m[0][i - m.start() :].rstrip("=")
+            if i >= done and len(body) % 4 != 1 and X.is_der_key(base64.b64decode(body + "=" * (-len(body) % 4))):
+                out.append((i, 3, m.end()))
+                done = m.end()
+    done = 0
+    for m in re.finditer(r"[A-Za-z0-9_.-]+", text):
+        parts, at = m[0].split("."), m.start()
+        for k, p in enumerate(parts):
+            three = parts[k : k + 3]
+            end = at + len(".".join(three))
+            if at >= done and len(three) == 3 and len(p) >= 8 and len(three[1]) >= 2 and len(three[2]) >= 16 and X.is_token_header(p, three[1]):
+                out.append((at, 5, end))
+                done = end
+            at += len(p) + 1
+    return sorted(out)
+
+
+def test_confirmed_spans_equal_brute_force():
+    rng = random.Random(9)
+    small = der(0x30, der(2, b"\0"), der(2, bytes(range(1, 40))))
+    odd = ".".join((url(b'{ "alg":"none"}'), url(b'{"a": 2}'), url(bytes(range(20)))))
+    bits = [base64.b64encode(small).decode(), base64.b64encode(small[:-1]).decode(), JWT, odd, odd[1:], "aaaaaaaa.", "eyJ", ".", " ", "x", "MDI", "\n", "é ", "=", "a.bb." + "c" * 16]
+    for _ in range(1500):
+        t = "".join(rng.choice(bits) for _ in range(rng.randrange(0, 7))).replace("\n", "\n,")
+        assert X.confirmed_spans(t, t.encode()) == spans_by_hand(t), t
+
+
+def test_tokens_are_found_wherever_they_stand():
+    for token in (JWT, ".".join((url(b'{ "alg":"none"}'), url(b"{}"), "s" * 16))):
+        for n in range(9):
+            for before in ("x" * n + " ", "aaaaaaaa.bb." * n):
+                t = before + token
+                assert [t[a:b] for a, _, b in X.confirmed_spans(t, t.encode())] == [token], t
+
+
 def test_random_encodings_are_left_alone():
     rng = random.Random(4)
     for _ in range(300):
@@ -263,6 +303,40 @@ def test_base_phrases_equal_brute_force(spark):
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
 
 
+def detections_by_hand(flat):
+    kept = []
+    for label, conf, _, pattern in rules():
+        for m in re.finditer(rb"(?<= )(?:" + pattern.encode() + rb")(?= )", flat):
+            if not any(a <= m.start() and m.end() <= b for a, b, *_ in kept):
+                kept.append((m.start(), m.end(), label, conf))
+    return sorted(kept)
+
+
+def test_detections_equal_brute_force():
+    rng = random.Random(10)
+    bits = ["cc by", "cc by nc 4.0", "GNU Lesser General Public License version 2.1", "general public license version 3", "all rights reserved", "copyright 2020 by", "licensed under", "the MIT license", "the",
+            "apache license version 2.0", "creative commons attribution", "share alike 3.0", "SPDX-License-Identifier: MIT", "zlib license", "bsd", "new", "3 clause", "tous droits réservés", "x"]
+    for _ in range(60):
+        text = " ".join(rng.choice(bits) for _ in range(rng.randrange(0, 25))).encode()
+        flat = b" " + b" ".join(text.translate(L.PLAIN).split()) + b" "
+        kept = detections_by_hand(flat)
+        assert L.detections(flat) == kept
+        got = L.scan(text)
+        assert got[5] == ",".join(sorted({*filter(None, got[4].split(",")), *(d[2] for d in kept)}))
+        miss = np.prod([1 - d[3] for d in kept] + [0.5] * sum(not any(a <= p < b for a, b, *_ in kept) for phrase, _ in L.PHRASES for p in L.places(flat, phrase)))
+        assert got[6] == pytest.approx(1 - miss)
+
+
+def test_a_long_text_full_of_hits_is_linear():
+    import time
+
+    for some in (b"cc by ", b"all rights reserved ", b"gnu general public license version 3 ", b"cc by nc 4.0 all rights reserved "):
+        text = some * (200_000 // len(some.split()))
+        began = time.process_time()
+        got = L.scan(text)
+        assert got[0] >= 199_000 and time.process_time() - began < 6, some
+
+
 @pytest.mark.parametrize("text,labels", [
     ("Licensed under the Apache License, Version 2.0", "apache-2.0"), ("Released under the MIT License.", "mit"), ("This work is licensed under the GNU General Public License, version 3", "gpl,gpl-3.0"),
     ("Licensed under CC BY-NC 4.0", "cc-by,cc-by-nc-4.0"), ("SPDX-License-Identifier: BSD-3-Clause", "spdx:bsd-3-clause"), ("GNU Lesser General Public License v2.1 or later", "gpl,lgpl-2.1"),
@@ -273,6 +347,6 @@ def test_rules_suppress_what_they_contain(text, labels):
 
 def test_rules_are_hundreds_and_compile_with_their_keywords():
     found = rules()
-    assert len(found) > 250 and len(L.compiled()[1]) == len(found)
+    assert len(WRITTEN.strip().splitlines()) > 220 and len(found) > 350 and len(L.compiled()[1]) == len(found)
     for label, confidence, keyword, pattern in found:
         assert 0 < confidence <= 1 and keyword, label
