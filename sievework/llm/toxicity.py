@@ -8,7 +8,7 @@ Each hit is weighed by its context, `WINDOW` words to either side: more hits and
 marks around it and words of report lower it. A logistic regression on these sums, fitted on labelled documents, gives the score.
 
 Labels are taken only from rows with crc32(doc_id as text) mod 3 <> 1, at most `max_labelled` of them (least hash first);
-doc_id, lang and source are never inputs. What comes to the driver is bounded by it. Scoring is one scan without a shuffle.
+doc_id, lang and source are never inputs. Their words are counted, and their features taken, in tasks; no text comes to the driver. Scoring is one scan without a shuffle.
 
 Defined results: null and empty texts get the score of a text without hits; repeated rows are scored one by one; a null doc_id is not held
 out; extra columns are not read. Without toxic labels to learn from, fixed coefficients are used.
@@ -18,14 +18,13 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow, text_rows
+from .common import batch, map_arrow, stage, text_rows, unstage
 from .levenshtein import Lexicon
 
 # English terms of abuse.
@@ -155,46 +154,65 @@ def score(x: np.ndarray, model: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model[0] + x @ model[1:], -60, 60)))
 
 
-def learned(documents: list[tuple[int, bytes]], least: int = 4, odds: float = 3.0) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems whose share of toxic documents is exp(odds) times that of the others, or more; weights are log odds, 4 at most."""
-    bad, good, n_bad, n_good = Counter(), Counter(), 0, 0
-    texts = [(y, grams(set(WORD.findall(t.decode("utf-8", "replace").lower())))) for y, t in documents]
-    for y, g in texts:
-        if y:
-            bad.update(g)
-            n_bad += 1
-    for y, g in texts:
-        if not y:
-            good.update(x for x in g if x in bad)
-            n_good += 1
-    terms: dict[str, float] = {}
-    stems: dict[str, float] = {}
-    for g, n in bad.items():
-        value = np.log((n + 0.5) / (n_bad + 1)) - np.log((good[g] + 0.5) / (n_good + 1))
-        # the lower end of what chance allows, so that rare words need more evidence
-        value -= 1.0 / np.sqrt(n) + 1.0 / np.sqrt(good[g] + 1) * 0.5
-        if n >= least and value >= odds:
-            (stems if g.endswith("*") else terms)[g.removesuffix("*")] = float(min(LEARNED, value))
-    return terms, stems
-
-
-def lexicon_of(terms: dict[str, float], stems: dict[str, float], documents: list[tuple[int, bytes]]) -> Lexicon:
-    """Fixed and learned terms; a learned one allows as many errors as keep it away from words frequent in non-toxic documents."""
-    count: Counter = Counter()
-    for y, t in documents:
-        if not y:
-            count.update(words_of(t))
+#: Grams that a task counts before it passes them on.
+HELD = 300_000
+GRAM = "gram string, bad0 long, bad1 long, good0 long, good1 long"
+
+
+def gram_counts(sample: DataFrame) -> DataFrame:
+    """In how many documents of each half (`half`) each word or starred beginning stands: toxic ones (bad) and others (good). Added up in tasks first."""
+    schema = pa.schema([("gram", pa.string()), *((c, pa.int64()) for c in ("bad0", "bad1", "good0", "good1"))])
+
+    def flush(held):
+        return batch(schema, list(held), *([v[k] for v in held.values()] for k in range(4)))
+
+    def count(batches):
+        held: dict[str, list[int]] = {}
+        for b in batches:
+            for toxic, half, t in zip(*(b.column(c).to_pylist() for c in ("toxic", "half", "text"))):
+                for g in grams(words_of(t)):
+                    held.setdefault(g, [0, 0, 0, 0])[2 * (not toxic) + half] += 1
+            if len(held) > HELD:
+                yield flush(held)
+                held = {}
+        if held:
+            yield flush(held)
+
+    return map_arrow(sample.select("toxic", "half", "text"), count, GRAM).groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("bad0", "bad1", "good0", "good1")))
+
+
+def learned(counts: DataFrame, bad: Column, good: Column, n_bad: int, n_good: int, least: int = 4, odds: float = 3.0) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and stems whose share of toxic documents is exp(odds) times that of the others, or more; weights are log odds, LEARNED at most."""
+    value = F.log((bad + 0.5) / F.lit(n_bad + 1)) - F.log((good + 0.5) / F.lit(n_good + 1))
+    # the lower end of what chance allows, so that rare words need more evidence
+    value = value - 1 / F.sqrt(bad) - 0.5 / F.sqrt(good + 1)
+    found = counts.where(bad >= least).select("gram", F.least(value, F.lit(LEARNED)).alias("weight")).where(F.col("weight") >= odds).collect()
+    terms = {r.gram: r.weight for r in found if not r.gram.endswith("*")}
+    return terms, {r.gram[:-1]: r.weight for r in found if r.gram.endswith("*")}
+
+
+def lexicon_of(terms: dict[str, float], stems: dict[str, float], counts: DataFrame, good: Column) -> Lexicon:
+    """Fixed and learned terms; a learned one allows as many errors as keep it away from words frequent in non-toxic documents. The words run
+    through the automaton where they are; only those near a term come to the driver."""
     base = {t: SURE for t in TERMS}
     every = terms | base
-    budgets: dict[str, int] = {}
-    plain = set()
     trial = Lexicon(every, {})
-    for w in [w for w, n in count.items() if n >= FREQUENT and w not in every] + sorted(PLAIN - every.keys()):
-        for term, errors in trial.near(w):
-            plain.add(w)
-            if term not in base:
-                budgets[term] = min(budgets.get(term, errors), errors - 1)
-    return Lexicon(every, stems, budgets=budgets, plain=frozenset(plain))
+    schema = pa.schema([("word", pa.string()), ("term", pa.string()), ("errors", pa.int64())])
+
+    def near(batches):
+        for b in batches:
+            rows = [(w, *hit) for w in b.column("gram").to_pylist() if w not in every for hit in trial.near(w)]
+            if rows:
+                yield batch(schema, *map(list, zip(*rows)))
+
+    words = counts.where((good >= FREQUENT) & ~F.endswith("gram", F.lit("*"))).select("gram")
+    found = [tuple(r) for r in map_arrow(words, near, "word string, term string, errors long").collect()]
+    found += [(w, *hit) for w in sorted(PLAIN - every.keys()) for hit in trial.near(w)]
+    budgets: dict[str, int] = {}
+    for _, term, errors in found:
+        if term not in base:
+            budgets[term] = min(budgets.get(term, errors), errors - 1)
+    return Lexicon(every, stems, budgets=budgets, plain=frozenset(w for w, *_ in found))
 
 
 def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 60) -> np.ndarray:
@@ -214,35 +232,46 @@ def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 60) -> np.
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_chars: int = 30_000_000) -> tuple[Lexicon, np.ndarray]:
-    """Lexicon and coefficients. At most max_labelled documents, of max_chars bytes together, come to the driver; a text that doesn't fit is passed over."""
+def features(rows: DataFrame, lexicon: Lexicon, *keep: str) -> DataFrame:
+    """The columns kept of rows, and `x`, the summary of their text."""
+    kept = rows.select(*keep)
+    names, schema = kept.columns, pa.schema([("x", pa.list_(pa.float64()))])
+
+    def summaries(batches):
+        scorer = Scorer(lexicon)
+        for b in batches:
+            x = pa.array([scorer.summary(t).tolist() for t in b.column("text").to_pylist()], schema[0].type)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), x], names=[*names, "x"])
+
+    return map_arrow(rows.select(*keep, "text"), summaries, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema) + ", x array<double>")
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000) -> tuple[Lexicon, np.ndarray]:
+    """Lexicon and coefficients from at most max_labelled labelled texts (least hash first), each text of a doc_id once. Words are counted and features are
+    taken in tasks; the driver gets the terms found and six numbers a text, whatever the texts' sizes."""
     marks = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     picked = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    sample = text_rows(docs, "doc_id").join(F.broadcast(picked), "doc_id").withColumn("t", F.xxhash64("text"))
-    sizes = sample.select(F.xxhash64("doc_id").alias("h"), "doc_id", "t", F.octet_length("text").alias("size")).where(F.col("size") <= max_chars).distinct()
-    chosen, size = [], 0
-    for r in sizes.orderBy("h", "doc_id", "t").limit(max_labelled).collect():
-        if size + r.size <= max_chars:
-            size += r.size
-            chosen.append((r.doc_id, r.t))
-    fits = docs.sparkSession.createDataFrame(chosen, sizes.select("doc_id", "t").schema)
-    # a repeated row counts once
-    got = sample.join(F.broadcast(fits), ["doc_id", "t"]).groupBy("doc_id", "t").agg(F.first("toxic").alias("toxic"), F.first("text").alias("text"))
-    got = got.select(F.xxhash64("doc_id").alias("h"), "doc_id", "t", "toxic", "text").toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending"), ("t", "ascending")])
-    documents = list(zip(got["toxic"].to_pylist(), got["text"].to_pylist()))
+    rows = text_rows(docs, "doc_id").join(F.broadcast(picked), "doc_id").withColumn("t", F.xxhash64("text"))
+    fits = rows.select("doc_id", "t").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "t").limit(max_labelled)
+    sample = rows.join(F.broadcast(fits), ["doc_id", "t"]).groupBy("doc_id", "t").agg(F.first("toxic").alias("toxic"), F.first("text").alias("text"))
+    sample = stage(sample.withColumn("half", F.pmod(F.xxhash64("t", "doc_id"), F.lit(2)).cast("int")), "labelled")
+    n = {(r.half, r.toxic): r.n for r in sample.groupBy("half", F.col("toxic").cast("boolean").alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    n0, n1 = ([n.get((h, y), 0) for y in (True, False)] for h in (0, 1))
+    counts = stage(gram_counts(sample), "grams")
     # terms are learned on one half and coefficients on the other, then terms on all
-    half = documents[::2]
-    terms, stems = learned(half)
-    rest = documents[1::2]
     model = PRIOR
-    if sum(y for y, _ in rest) >= 3 and any(not y for y, _ in rest):
-        scorer = Scorer(lexicon_of(terms, stems, half))
-        x, y = np.array([scorer.summary(t) for _, t in rest]), np.array([y for y, _ in rest], float)
+    if n1[0] >= 3 and n1[1]:
+        terms, stems = learned(counts, F.col("bad0"), F.col("good0"), *n0)
+        seen = features(sample.where("half = 1"), lexicon_of(terms, stems, counts, F.col("good0")), "doc_id", "t", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("t", "ascending")])
+        x, y = np.array(seen["x"].to_pylist()), seen["toxic"].to_numpy().astype(float)
         model = fit(x, y)
         if model[-1] < 0:  # labels may hold too few misspelled terms to tell; they never speak for a text
             model = np.append(fit(x[:, :-1], y), 0.0)
-    terms, stems = learned(documents)
-    return lexicon_of(terms, stems, documents), model
+    bad, good = F.col("bad0") + F.col("bad1"), F.col("good0") + F.col("good1")
+    terms, stems = learned(counts, bad, good, n0[0] + n1[0], n0[1] + n1[1])
+    lexicon = lexicon_of(terms, stems, counts, good)
+    unstage(sample, counts)
+    return lexicon, model
 
 
 def score_documents(docs: DataFrame, lexicon: Lexicon, model: np.ndarray, at: float = 0.7) -> DataFrame:
