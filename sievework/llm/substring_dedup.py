@@ -5,8 +5,9 @@
    alone, so equal windows meet at equal minimizers. Consecutive windows of one minimizer are one row (minimizer hash, hash of the bytes they span, place):
    about three rows per hundred bytes, sent as blocks by hash range. Rows of equal content are settled by hash: the earliest stays, the others are
    repeats; within a task this happens before the shuffle, so a passage in a third of all documents sends a row a task.
-3. Minimizers that span different contents (where shared passages begin and end) are compared byte by byte: their bytes meet by hash range, where a suffix
-   order cut at `length` (suffixes.repeated_windows) tells which windows stand earlier: all but the first of a run. No LPF array is computed.
+3. Minimizers that span different contents (where shared passages begin and end) only route: their bytes meet by hash range, where the windows are put in
+   suffix order, the previous and next smaller positions in it give each window's longest previous factor (suffixes.previous_factors), and windows
+   whose factor reaches `length` are repeats. A minimizer with more than `HOT` contents is spread: its windows go one by one, by their first and last bytes.
 4. Spans of all repeats are merged per document.
 
 Earlier means a smaller doc_id, or an earlier start in the same document. Defined results: null texts are empty; texts shorter than `length` lose nothing;
@@ -33,6 +34,10 @@ K = 40
 HELD = 400_000
 #: Windows of a text that are looked at together.
 BLOCK = 1 << 22
+#: Different contents of a minimizer beyond which its windows meet by content, not by minimizer.
+HOT = 4096
+#: Bytes at either end of a window that choose its range then.
+ENDS = 20
 ROW = np.dtype([("hash", "<u8"), ("content", "<u8"), ("uid", "<i8"), ("start", "<u4"), ("windows", "<u2")])
 
 
@@ -94,7 +99,7 @@ def removed_spans(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFr
     bits = int(min(20, max(8, int(keys.count() // 1000).bit_length())))
     met = stage(_met(text, length, bits, parts), "met")
     settled = met.where("hash is null").select("uid", "start", F.expr(f"start + windows - 1 + {length}").alias("end"))
-    open_ = met.where("hash is not null").groupBy("uid").agg(F.collect_list(F.struct("start", "windows", "hash")).alias("rows"))
+    open_ = met.where("hash is not null").groupBy("uid").agg(F.collect_list(F.struct("start", "windows", "hash", "hot")).alias("rows"))
     compared = _compared(_only(text, open_.select("uid")), open_, length, bits, parts)
     return settled.unionByName(compared), keys, copies, odd
 
@@ -114,7 +119,7 @@ def _only(text: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _met(text: DataFrame, length: int, bits: int, parts: int) -> DataFrame:
-    """(uid, start, windows, hash): with a null hash, windows that repeat earlier ones; with a hash, windows to be compared by bytes."""
+    """(uid, start, windows, hash, hot): with a null hash, windows that repeat earlier ones; with a hash, windows to be compared by bytes."""
     blocks = pa.schema([("range", pa.int64()), ("rows", pa.binary())])
     ranges = 1 << bits
 
@@ -155,13 +160,13 @@ def _met(text: DataFrame, length: int, bits: int, parts: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    out = pa.schema([("uid", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("hash", pa.int64())])
+    out = pa.schema([("uid", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("hash", pa.int64()), ("hot", pa.bool_())])
 
     def meet(batches):
         for t in grouped(batches, "range"):
             rows = np.frombuffer(b"".join(t["rows"].to_pylist()), ROW)
             done = np.ones(len(rows), bool)
-            keep = done
+            keep, hot = done, np.zeros(len(rows), bool)
             if t["range"][0].as_py() < ranges:
                 order = np.argsort(rows["hash"], kind="stable")
                 s, c = runs(rows["hash"][order])
@@ -171,30 +176,38 @@ def _met(text: DataFrame, length: int, bits: int, parts: int) -> DataFrame:
                 done[1:] = (rows["hash"][1:] == rows["hash"][:-1]) & (rows["content"][1:] == rows["content"][:-1]) & (rows["windows"][1:] == rows["windows"][:-1])
                 s, c = runs(rows["hash"])
                 kinds = np.add.reduceat(~done, s) if len(s) else np.empty(0, int)
-                keep = done | np.repeat(kinds > 1, c)
+                keep, hot = done | np.repeat(kinds > 1, c), np.repeat(kinds > HOT, c)
             for i in range(0, len(rows), 100_000):
-                r, d = rows[i : i + 100_000][keep[i : i + 100_000]], done[i : i + 100_000][keep[i : i + 100_000]]
+                some = i + np.flatnonzero(keep[i : i + 100_000])
+                r = rows[some]
                 if len(r):
-                    yield batch(out, r["uid"], r["start"].astype(np.int64), r["windows"].astype(np.int64), pa.array(r["hash"].astype(np.int64), mask=d))
+                    yield batch(out, r["uid"], r["start"].astype(np.int64), r["windows"].astype(np.int64), pa.array(r["hash"].astype(np.int64), mask=done[some]), hot[some])
 
     dealt = map_arrow(text, deal, "range long, rows binary").repartition(parts, "range").sortWithinPartitions("range")
-    return map_arrow(dealt, meet, "uid long, start long, windows long, hash long")
+    return map_arrow(dealt, meet, "uid long, start long, windows long, hash long, hot boolean")
 
 
 def _compared(text: DataFrame, open_: DataFrame, length: int, bits: int, parts: int) -> DataFrame:
     """Spans of windows that stand earlier among the windows of their minimizer, by their bytes."""
-    pieces = pa.schema([("range", pa.int64()), ("hash", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
+    pieces = pa.schema([("range", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
 
     def cut(batches):
         for b in batches:
-            cols = [[] for _ in pieces]
-            for uid, t, rows in zip(*(b.column(c).to_pylist() for c in ("uid", "text", "rows"))):
-                for r in rows:
-                    s = r["start"]
-                    for c, x in zip(cols, ((r["hash"] + 2**64 if r["hash"] < 0 else r["hash"]) >> (64 - bits), r["hash"], uid, s, t[s : s + r["windows"] - 1 + length])):
-                        c.append(x)
-            if cols[0]:
-                yield batch(pieces, *cols)
+            rows = []
+            for uid, t, parts in zip(*(b.column(c).to_pylist() for c in ("uid", "text", "rows"))):
+                for r in parts:
+                    s, n = r["start"], r["windows"]
+                    if r["hot"]:
+                        for i in range(s, s + n):
+                            w = t[i : i + length]
+                            rows.append((xxhash.xxh3_64_intdigest(w[:ENDS] + w[-ENDS:], seed=r["hash"] % 2**64) >> (64 - bits), uid, i, w))
+                    else:
+                        rows.append((r["hash"] % 2**64 >> (64 - bits), uid, s, t[s : s + n - 1 + length]))
+                    if len(rows) >= 50_000:
+                        yield batch(pieces, *map(list, zip(*rows)))
+                        rows = []
+            if rows:
+                yield batch(pieces, *map(list, zip(*rows)))
 
     spans = pa.schema([("uid", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
@@ -217,7 +230,7 @@ def _compared(text: DataFrame, open_: DataFrame, length: int, bits: int, parts:
                 yield batch(spans, u[new], p[new], p[last] + length)
 
     joined = text.join(open_, "uid")
-    dealt = map_arrow(joined.select("uid", "text", "rows"), cut, "range long, hash long, uid long, start long, bytes binary").repartition(parts, "range").sortWithinPartitions("range")
+    dealt = map_arrow(joined.select("uid", "text", "rows"), cut, "range long, uid long, start long, bytes binary").repartition(parts, "range").sortWithinPartitions("range")
     return map_arrow(dealt, compare, "uid long, start long, end long")
 
 

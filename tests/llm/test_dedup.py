@@ -1,6 +1,7 @@
 """Suffix-array dedup and the Jaccard join, against brute force."""
 
 import hashlib
+import inspect
 import random
 
 import numpy as np
@@ -91,6 +92,46 @@ def test_dedup_of_odd_rows(spark):
         S.dedup(frame(spark, []), length=10)
 
 
+def test_a_minimizer_that_many_texts_share_is_spread(spark, monkeypatch):
+    rng = random.Random(5)
+    hot = words(rng, 22)
+    rows = [(i, f"{words(rng, 9)} {hot[rng.randrange(0, 12):]}{words(rng, 3)}") for i in range(600)]
+    want = removed_by_hand(rows)
+    for limit in (S.HOT, 8):
+        monkeypatch.setattr(S, "HOT", limit)
+        source = inspect.getsource(S._compared)
+        assert "repeated_windows" in source
+        assert {r.doc_id: tuple(r)[1:] for r in S.dedup(frame(spark, rows, 5)).collect()} == want
+    met = S._met(frame(spark, rows).selectExpr("doc_id as uid", "cast(text as binary) as text"), 100, 8, 4)
+    assert met.where("hot and hash is not null").count() > 500
+
+
+def test_ten_thousand_texts_of_one_minimizer():
+    rng = np.random.default_rng(7)
+    core = rng.integers(97, 123, 60, dtype=np.uint8)
+    few = lambda n: rng.integers(97, 99, n, dtype=np.uint8)
+    rows = [np.concatenate((np.full(30, 120, np.uint8), few(10), core, np.full(15, 121, np.uint8), few(5))) for _ in range(10_000)]
+    text = np.concatenate(rows)
+    starts = (np.arange(10_000)[:, None] * 120 + np.arange(21)[None, :]).ravel()
+    doc, at = np.repeat(rng.permutation(10_000), 21), np.tile(np.arange(21), 10_000)
+    got = suffixes.repeated_windows(text, starts, doc, at, 100)
+    seen, want, raw = set(), np.zeros(len(starts), bool), text.tobytes()
+    for k in np.lexsort((at, doc)).tolist():
+        w = raw[starts[k] : starts[k] + 100]
+        want[k] = w in seen
+        seen.add(w)
+    assert np.array_equal(got, want) and got.any() and not got.all()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 10**6), unique=True, max_size=60))
+def test_smaller_positions(values):
+    before, after = suffixes.smaller(np.array(values, np.int64))
+    for i, v in enumerate(values):
+        assert before[i] == max((j for j in range(i) if values[j] < v), default=-1)
+        assert after[i] == min((j for j in range(i + 1, len(values)) if values[j] < v), default=len(values))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("ab", max_size=40))
 def test_longest_previous_factors(text):
