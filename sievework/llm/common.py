@@ -13,10 +13,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows that any operator here broadcasts as ids; beyond it the same join is shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Most rows, and most bytes, that any operator here broadcasts; beyond either the same join is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64_000_000
 #: Rows of an Arrow batch, at most; texts may be long.
 BATCH_ROWS = 64
+#: Staged tables that are not deleted yet.
+STAGED: list[str] = []
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,9 +26,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir, or where that is unset (tests, one machine) a folder of our own."""
+    """The cluster's spark.checkpoint.dir, or where that is unset on a single machine a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         found = f"file://{tempfile.mkdtemp(prefix='sievework-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -39,14 +43,34 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     df.write.option("compression", "snappy").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    STAGED.append(path)
     return out
 
 
+def delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unstage(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any longer."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.staged_path)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(t.sparkSession, t.staged_path)
+        STAGED.remove(t.staged_path)
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Delete what has been staged since STAGED was `since` long: for callers that have written what they need from it."""
+    while len(STAGED) > since:
+        delete(spark, STAGED.pop())
+
+
+def fits(df: DataFrame) -> bool:
+    """Whether df has few enough rows and bytes to be broadcast. Looks at no more rows than that."""
+    sized = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    width = sum(sized, F.lit(16 * len(df.columns)))
+    r = df.select(width.alias("w")).limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.sum("w").alias("w")).first()
+    return r.n <= BROADCAST_ROWS and (r.w or 0) <= BROADCAST_BYTES
 
 
 def partitions(spark: SparkSession) -> int:
@@ -56,11 +80,17 @@ def partitions(spark: SparkSession) -> int:
 def without(docs: DataFrame, drop: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs whose key isn't in drop. The ids are broadcast if few enough, else shuffled; rows with a null key stay."""
     drop = drop.select(key).distinct()
-    small = drop.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(drop) if small else drop, key, "left_anti")
+    return docs.join(F.broadcast(drop) if fits(drop) else drop, key, "left_anti")
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, with underscores behind it where docs has such a column."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
-def numbered(docs: DataFrame, key: str = "row_key") -> DataFrame:
+def numbered(docs: DataFrame, key: str) -> DataFrame:
     """docs with a key of each row, the same whenever it is read: a hash of file and place in it, or for other tables a number in a staged copy."""
     try:
         return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(key))

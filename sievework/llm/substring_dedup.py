@@ -25,11 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, batch, grouped, map_arrow, partitions, stage, text_rows
+from .common import batch, fits, grouped, map_arrow, partitions, stage, text_rows
 from .suffixes import repeated_windows
 from .textnum import TABLE, U, mix, runs
 
 K = 40
+#: Copies beyond which a text's are found by broadcast; texts that can have more are MANY_TEXTS at the most.
+MANY, MANY_TEXTS = 1000, 100_000
 #: Rows that a task holds before it passes them on.
 HELD = 400_000
 #: Windows of a text that are looked at together.
@@ -82,8 +84,12 @@ def _keys(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = stage(rows.alias("r").join(ranked.alias("u"), same).select("r.doc_id", "r.sha", "n_bytes", "uid"), "keys")
     else:
         rows = rows.withColumn("uid", F.col("doc_id"))
-    first = rows.groupBy("sha").agg(F.min("uid").alias("uid"))
-    later = rows.join(first.withColumnRenamed("uid", "least"), "sha").where("uid <> least").select("uid").distinct()
+    first = rows.groupBy("sha").agg(F.min("uid").alias("least"), F.count("*").alias("n")).where("n > 1")
+    # texts with very many copies are few, so they are broadcast and their rows stay where they are
+    many = max(MANY, rows.count() // MANY_TEXTS)
+    often = F.broadcast(first.where(F.col("n") > many).drop("n"))
+    rest = rows.select("sha", "uid").join(often.select("sha"), "sha", "left_anti").join(first.where(F.col("n") <= many).drop("n"), "sha")
+    later = rows.select("sha", "uid").join(often, "sha").unionByName(rest).where("uid <> least").select("uid").distinct()
     return rows, stage(later, "copies"), odd
 
 
@@ -93,8 +99,7 @@ def removed_spans(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFr
         raise ValueError(f"length must be {K} or more")
     keys, copies, odd = _keys(docs)
     text = _with_uid(docs, keys, odd)
-    few = copies.count() <= BROADCAST_ROWS
-    text = text.join(F.broadcast(copies) if few else copies, "uid", "left_anti")
+    text = text.join(F.broadcast(copies) if fits(copies) else copies, "uid", "left_anti")
     parts = partitions(docs.sparkSession)
     bits = int(min(20, max(8, int(keys.count() // 1000).bit_length())))
     met = stage(_met(text, length, bits, parts), "met")
@@ -114,8 +119,7 @@ def _with_uid(docs: DataFrame, keys: DataFrame, odd: bool) -> DataFrame:
 
 def _only(text: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of text whose uid is among ids: broadcast if few enough, so that the other texts are not shuffled by a later join."""
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return text.join(F.broadcast(ids), "uid", "left_semi") if few else text
+    return text.join(F.broadcast(ids), "uid", "left_semi") if fits(ids) else text
 
 
 def _met(text: DataFrame, length: int, bits: int, parts: int) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, batch, map_arrow, partitions, shared_dir, stage, text_rows, unstage
+from .common import STAGED, batch, fits, map_arrow, partitions, shared_dir, stage, text_rows, unstage
 from .grammar import Shard, compress
 from .textnum import U, mix, prefix_sums, runs, word_spans
 
@@ -255,7 +255,7 @@ def read_ids(spark, path: str) -> DataFrame:
     files = spark.read.schema(FILES).parquet(path)
     sums = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     base = sums.select(F.col("part").alias("of"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    few = sums.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = fits(sums)
     out = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def decode(batches):
@@ -290,5 +290,6 @@ def read_documents(spark, path: str, doc_ids: list[int]) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    STAGED.append(path)
     write_ids(docs, tokenizer, path, end)
     return read_ids(spark, path)
