@@ -2,12 +2,12 @@
 
 Sources in code point order (null last) weigh 5, 2, 1, repeating, and share `percent` % of all sizes; a target stops at
 `most` times its source's size and the excess is shared again by weight until none is above. Each source is taken whole as often as its
-target holds its size; the rest is cut from its documents in order of md5(doc_id). The cut is found by prefix sums in two
-levels: sums per source and hash range, then single rows of the one range that holds the cut. So no source, however large, is
-sorted by one task, and what leaves is one row a source.
+target holds its size; the rest is cut from its documents in order of md5(doc_id). The cut is found by prefix sums in three
+levels: sums per source and coarse hash range, sums of the finer ranges in the one that holds the cut, then single rows of the one fine range that holds it.
+Each level orders at most 4,096 sums or so a source. So no source, however large, is sorted by one task, and what leaves is one row a source.
 
 Defined results: size is the number of `[^\\x20\\x09-\\x0D]+` in the text, 0 for null; rows of size 0 take 0; a source of total
-size 0 has target 0; rows with equal doc_id, source and size share what the cut leaves them equally, rounded down. Extra columns are not read. An empty table gives no rows.
+size 0 has target 0; rows with equal doc_id, source and size share what the cut leaves them equally, rounded down. Extra columns are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, stage
+from .common import fits, stage
 
 WEIGHTS = (5, 2, 1)
 #: Rows of a source that a hash range holds, about.
@@ -59,9 +59,16 @@ def cuts(docs: DataFrame, percent: int = 150, most: int = 2) -> tuple[DataFrame,
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = plan.withColumn("epochs", epochs).withColumn("left", F.floor(F.col("target")) - F.col("epochs") * F.col("source_size"))
     same = F.col("r.source").eqNullSafe(F.col("p.source"))
-    running = F.sum("words").over(Window.partitionBy("r.source").orderBy("part"))
-    at = ranged.alias("r").join(F.broadcast(plan.alias("p")), same).withColumn("upto", running).where("upto > left and upto - words <= left").select(F.col("r.source"), "part", (F.col("left") - F.col("upto") + F.col("words")).alias("room"))
-    few = plan.count() <= BROADCAST_ROWS
+    few = fits(plan)
+
+    def holding(sums: DataFrame, by: str, room: str, given: DataFrame, on) -> DataFrame:
+        """Of each source's sums, in the order of `by`, the one in which `room` runs out: source, by, and the room that is left in it."""
+        upto = sums.alias("r").join(F.broadcast(given.alias("p")) if few else given.alias("p"), on).select("r.*", room).withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy(by)))
+        return upto.where(f"upto > {room} and upto - words <= {room}").select("source", by, (F.col(room) - F.col("upto") + F.col("words")).alias("room"))
+
+    coarse = ranged.groupBy("source", F.shiftright("part", bits // 2).alias("span")).agg(F.sum("words").alias("words"))
+    span = holding(coarse, "span", "left", plan, same)
+    at = holding(ranged, "part", "room", span, same & (F.shiftright(F.col("r.part"), bits // 2) == F.col("p.span")))
     small = F.broadcast(at) if few else at
     rows = sizes.alias("r").join(small.alias("p"), same & (part == F.col("p.part"))).select("r.source", "key", "size", "room")
     rows = rows.groupBy("source", "key", "size").agg(F.count("*").alias("rows"), F.first("room").alias("room"))
@@ -80,8 +87,7 @@ def extra(size: Column, key: Column) -> Column:
 def _planned(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """rows with their source's cut. One row a source is broadcast if few enough, else shuffled."""
     plan = plan.withColumnRenamed("source", "of")
-    few = plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    return rows.join(F.broadcast(plan) if fits(plan) else plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
 
 def mix(docs: DataFrame, percent: int = 150, most: int = 2) -> DataFrame:
@@ -95,23 +101,26 @@ def mixed_documents(docs: DataFrame, percent: int = 150, most: int = 2) -> DataF
     """The mix itself in docs' columns: a row as often as it is taken whole; where the cut falls within a text, one row with
     its first words. Texts are not shuffled."""
     _, plan = cuts(docs, percent, most)
-    plan = plan.select("source", *(F.col(c).alias(f"__{c}") for c in ("epochs", "cut_key", "cut_size", "partial")))
-    few = plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    at = plan.withColumnRenamed("source", "__of")
-    rows = docs.withColumns({"__size": word_count(F.col("text")), "__key": mix_key(F.col("doc_id"))})
-    rows = rows.join(F.broadcast(at) if few else at, F.col("source").eqNullSafe(F.col("__of")))
-    before = (F.col("__key") < F.col("__cut_key")) | ((F.col("__key") == F.col("__cut_key")) & (F.col("__size") < F.col("__cut_size")))
-    here = (F.col("__key") == F.col("__cut_key")) & (F.col("__size") == F.col("__cut_size"))
-    rows = rows.withColumn("__more", F.when(F.col("__cut_key").isNull(), 0).when(before, F.col("__size")).when(here, F.col("__partial")).otherwise(0))
-    whole = F.col("__epochs") + F.when((F.col("__more") == F.col("__size")) & (F.col("__size") > 0), 1).otherwise(0)
-    part = F.when((F.col("__more") > 0) & (F.col("__more") < F.col("__size")), F.array(F.col("__more"))).otherwise(F.array().cast("array<bigint>"))
+    own = "__"  # what names of columns made here begin with, and none of docs'
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    plan = plan.select("source", *(F.col(c).alias(own + c) for c in ("epochs", "cut_key", "cut_size", "partial")))
+    few = fits(plan)
+    at = plan.withColumnRenamed("source", f"{own}of")
+    rows = docs.withColumns({f"{own}size": word_count(F.col("text")), f"{own}key": mix_key(F.col("doc_id"))})
+    rows = rows.join(F.broadcast(at) if few else at, F.col("source").eqNullSafe(F.col(f"{own}of")))
+    before = (F.col(f"{own}key") < F.col(f"{own}cut_key")) | ((F.col(f"{own}key") == F.col(f"{own}cut_key")) & (F.col(f"{own}size") < F.col(f"{own}cut_size")))
+    here = (F.col(f"{own}key") == F.col(f"{own}cut_key")) & (F.col(f"{own}size") == F.col(f"{own}cut_size"))
+    rows = rows.withColumn(f"{own}more", F.when(F.col(f"{own}cut_key").isNull(), 0).when(before, F.col(f"{own}size")).when(here, F.col(f"{own}partial")).otherwise(0))
+    whole = F.col(f"{own}epochs") + F.when((F.col(f"{own}more") == F.col(f"{own}size")) & (F.col(f"{own}size") > 0), 1).otherwise(0)
+    part = F.when((F.col(f"{own}more") > 0) & (F.col(f"{own}more") < F.col(f"{own}size")), F.array(F.col(f"{own}more"))).otherwise(F.array().cast("array<bigint>"))
     each = F.concat(F.array_repeat(F.lit(None).cast("bigint"), whole.cast("int")), part)
-    rows = rows.withColumn("__words", F.explode(each))
+    rows = rows.withColumn(f"{own}words", F.explode(each))
     # the end of each word is marked by a NUL; a text that has some already is cut to its words, joined by spaces
     marked = F.regexp_replace("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", "\0")
-    marked = F.replace(F.call_function("substring_index", marked, F.lit("\0"), F.col("__words").cast("int")), F.lit("\0"), F.lit(""))
-    joined = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.greatest(F.col("__words"), F.lit(0)).cast("int")), " ")
+    marked = F.replace(F.call_function("substring_index", marked, F.lit("\0"), F.col(f"{own}words").cast("int")), F.lit("\0"), F.lit(""))
+    joined = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.greatest(F.col(f"{own}words"), F.lit(0)).cast("int")), " ")
     cut = F.when(F.instr("text", "\0") > 0, joined).otherwise(marked)
-    text = F.when(F.col("__words").isNull(), F.col("text")).otherwise(cut)
-    out = [text.alias(c) if c == "text" else F.when(F.col("__words").isNull(), F.col(c)).otherwise(F.length(text)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    text = F.when(F.col(f"{own}words").isNull(), F.col("text")).otherwise(cut)
+    out = [text.alias(c) if c == "text" else F.when(F.col(f"{own}words").isNull(), F.col(c)).otherwise(F.length(text)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return rows.select(*out)
