@@ -33,6 +33,8 @@ from .textnum import U, ceil_div, distinct_sorted, mix, ngram_hashes, runs, word
 #: Tokens that a task holds before it passes them on.
 HELD = 2_000_000
 SEEDS = (1, 2, 3)
+#: Members of a list that are paired in one unit of work.
+BLOCK = 1000
 BITS = 1024
 
 
@@ -275,7 +277,8 @@ def _bits_allow(percent: int):
 
 
 def _rest_pairs(lists: DataFrame, sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Set pairs of a list whose components differ and that the filters allow."""
+    """Set pairs of a list whose components differ and that the filters allow. The members of a long list are dealt into blocks; each two blocks, and each
+    block with itself, are a unit of work of their own, so a token that many sets share is not one task's."""
     part = sets.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "gid", "n", "bits", F.coalesce("label", "sid").alias("part"))
     many = part.groupBy("gid").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("k"))
     ranged = lists.join(many, "gid")
@@ -283,10 +286,16 @@ def _rest_pairs(lists: DataFrame, sets: DataFrame, label: DataFrame, percent: in
     rows = lists.join(mixed, "token").select("token", "gid", "rank")
     rows = rows.union(many.where("lo <> hi").select(F.xxhash64("gid").alias("token"), "gid", F.lit(0).cast("long")))
     rows = rows.join(part, "gid").select("token", "rank", "sid", "n", "bits", "part")
+    blocks = rows.groupBy("token").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("unit", F.concat_ws(":", "token", F.least("block", "other"), F.greatest("block", "other"))).drop("token", "blocks")
+    rows = rows.withColumn("across", F.col("block") != F.col("other")).drop("other")
     out = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def pair(batches):
-        for t in grouped(batches, "token"):
+        for t in grouped(batches, "unit"):
+            block, across = t["block"].to_numpy(), t["across"][0].as_py()
             sid, n, rank = t["sid"].to_pylist(), t["n"].to_numpy(), t["rank"].to_numpy()
             code = {p: i for i, p in enumerate(dict.fromkeys(t["part"].to_pylist()))}
             part = np.array([code[p] for p in t["part"].to_pylist()])
@@ -294,12 +303,12 @@ def _rest_pairs(lists: DataFrame, sets: DataFrame, label: DataFrame, percent: in
                 continue
             sig = np.frombuffer(b"".join(t["bits"].to_pylist()), U).reshape(len(n), -1)
             order = np.argsort(n, kind="stable")
-            n, rank, part, sig = n[order], rank[order], part[order], sig[order]
+            n, rank, part, sig, block = n[order], rank[order], part[order], sig[order], block[order]
             a, b = [], []
             for i in range(len(n) - 1):
                 end = np.searchsorted(n, 100 * n[i] // percent, "right")
                 j = np.arange(i + 1, end)
-                j = j[part[j] != part[i]]
+                j = j[(part[j] != part[i]) & ((block[j] != block[i]) if across else True)]
                 need = -(-percent * (n[i] + n[j]) // (100 + percent))
                 j, need = (x[np.minimum(n[i] - rank[i], n[j] - rank[j]) >= need] for x in (j, need))
                 differ = np.bitwise_count(sig[j] ^ sig[i]).sum(1, dtype=np.int64)
@@ -314,16 +323,26 @@ def _rest_pairs(lists: DataFrame, sets: DataFrame, label: DataFrame, percent: in
             if a:
                 yield batch(out, a, b)
 
-    spread = rows.repartition(partitions(rows.sparkSession), "token").sortWithinPartitions("token")
+    spread = rows.repartition(partitions(rows.sparkSession), "unit").sortWithinPartitions("unit")
     return map_arrow(spread, pair, "a binary, b binary").distinct()
 
 
+def _first_bytes(c: str):
+    return F.conv(F.hex(F.substring(c, 1, 7)), 16, 10).cast("long").alias(c)
+
+
+def _among(ranked: np.ndarray, x: int) -> bool:
+    at = int(np.searchsorted(ranked, x))
+    return at < len(ranked) and int(ranked[at]) == x
+
+
 def _verify(text: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose whole sets link."""
     spark = text.sparkSession
     asked = stage(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct(), "asked")
     few = asked.count() <= BROADCAST_ROWS
-    wanted = spark.sparkContext.broadcast(frozenset(asked.toArrow()["sid"].to_pylist()) if few else None)
+    # eight bytes a set; what passes by chance finds no partner in the joins below
+    wanted = spark.sparkContext.broadcast(np.sort(asked.select(_first_bytes("sid")).toArrow()["sid"].to_numpy()) if few else None)
     schema = pa.schema([("sid", pa.binary()), ("tokens", pa.binary())])
 
     def whole(batches):
@@ -333,7 +352,7 @@ def _verify(text: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
             for t in b.column("text").to_pylist():
                 g = shingles(t, k)
                 sid = set_id(g)
-                if len(g) and sid not in seen and (wanted.value is None or sid in wanted.value):
+                if len(g) and sid not in seen and (wanted.value is None or _among(wanted.value, int.from_bytes(sid[:7], "big"))):
                     if len(seen) < 1_000_000:
                         seen.add(sid)
                     rows.append((sid, g.tobytes()))

@@ -1,5 +1,6 @@
 """Decontamination, mixing, token output and the pipeline."""
 
+import itertools
 import random
 import re
 import zlib
@@ -262,3 +263,24 @@ def test_stages_drop_rows_and_not_ids(spark, tmp_path):
     frame(spark, [(5, c, "s"), (5, a, "s"), (None, c, "s"), (None, b, "s"), (6, None, "s")]).write.parquet(f"{tmp_path}/2")
     left = corpus_pipeline.leaks(spark, spark.read.parquet(f"{tmp_path}/2"), f"{tmp_path}").collect()
     assert sorted(map(str, ((r.doc_id, (r.text or "-")[0]) for r in left))) == sorted(map(str, [(5, "a"), (None, "b"), (6, "-")]))
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    base = "doc_id long, text string, lang string, source string, n_chars long, row_key string, __size string, component_id string"
+    words_ = lambda n: " ".join(f"w{k}" for k in range(n))
+    rows = [(1, words_(40)), (1, words_(40)), (None, words_(40)), (None, "only here " * 9), (2, None), (3, ""), (4, " \n"), (4, "é " * 30), (5, words_(3000))]
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([], "item_id long, text string")
+    for name, some in (("odd", rows), ("none", [])):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "k", "x", "y") for i, t in some], base)
+        for table, df in (("documents", docs), ("labels", labels), ("benchmark", items)):
+            df.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert set(r.doc_id for r in out) <= {i for i, _ in some} and bool(out) == bool(some)
+        assert [r.start for r in sorted(out, key=lambda r: r.start)] == list(itertools.accumulate([0] + [r.n_tokens for r in sorted(out, key=lambda r: r.start)]))[:-1]
+    kept = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/odd/documents.parquet"), "")
+    assert kept.columns == docs.columns and sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == sorted({(str(i), t or "") for i, t in rows if not (i is None and t == rows[0][1])})
+    mixed = corpus_pipeline.mix_sources(spark, spark.read.parquet(f"{tmp_path}/odd/documents.parquet"), "")
+    assert mixed.columns == docs.columns and {r["__size"] for r in mixed.collect()} == {"x"}

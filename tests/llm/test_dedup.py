@@ -79,6 +79,13 @@ def test_dedup_takes_a_long_text_in_blocks(spark, monkeypatch):
     assert {r.doc_id: tuple(r)[1:] for r in S.dedup(frame(spark, rows)).collect()} == removed_by_hand(rows)
 
 
+def test_copies_found_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(S, "MANY", 5)
+    rows = messy(3)
+    rows += [(1000 + i, rows[3][1]) for i in range(9)] + [(2000 + i, rows[5][1]) for i in range(3)]
+    assert {r.doc_id: tuple(r)[1:] for r in S.dedup(frame(spark, rows)).collect()} == removed_by_hand(rows)
+
+
 def test_dedup_of_odd_rows(spark):
     a, b = "a" * 50 + "b" * 60, "c" * 130
     rows = [(1, a), (1, a), (1, b), (None, a), (None, None), (0, b)]
@@ -190,8 +197,9 @@ def near(seed, members=60):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("seed,heavy", [(1, 32), (2, 4), (3, 10**9)])
-def test_classes_equal_brute_force(spark, seed, heavy):
+@pytest.mark.parametrize("seed,heavy,block", [(1, 32, 5), (2, 4, 1000), (3, 10**9, 3)])
+def test_classes_equal_brute_force(spark, monkeypatch, seed, heavy, block):
+    monkeypatch.setattr(J, "BLOCK", block)
     rows = near(seed)
     got = [(r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in J.jaccard_classes(frame(spark, rows), heavy=heavy).collect()]
     assert sorted(got, key=str) == classes_by_hand(rows)
@@ -204,6 +212,18 @@ def test_classes_of_odd_rows(spark):
     assert J.jaccard_classes(frame(spark, [])).count() == 0
 
 
+def test_all_pairs_of_a_list_meet_once_whatever_its_blocks(spark, monkeypatch):
+    sets = spark.createDataFrame([(bytes([i]), i, 100, bytes(J.BITS // 8)) for i in range(40)], "sid binary, gid long, n long, bits binary")
+    lists = spark.createDataFrame([(7, i, 100, 0) for i in range(40)], "token long, gid long, n long, rank long")
+    label = spark.createDataFrame([(bytes([i]), bytes([i % 3])) for i in range(30)], "node binary, label binary")
+    part = lambda i: i % 3 if i < 30 else i
+    want = {(bytes([i]), bytes([j])) for i in range(40) for j in range(i + 1, 40) if part(i) != part(j)}
+    for block in (1, 7, 1000):
+        monkeypatch.setattr(J, "BLOCK", block)
+        got = [tuple(map(bytes, r)) for r in J._rest_pairs(lists, sets, label, 85).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_other_widths_and_thresholds(spark):
     rows = near(4, 20)
     got = [(r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in J.jaccard_classes(frame(spark, rows), k=5, percent=80).collect()]
