@@ -36,7 +36,8 @@ def text(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space of any script at either end, which trim() would leave."""
-    return F.regexp_replace(text(c), r"(?U)^\s+|\s+$", "")
+    # a run within the text is looked at once, from its first character on
+    return F.regexp_replace(text(c), r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def missing(c: Column, tokens) -> Column:

@@ -28,7 +28,7 @@ from ..operators import profile as P
 from ..operators import validate as V
 from ..sources import files
 from . import report
-from .retry import TransientError, retry
+from .retry import GaveUp, persist_in
 
 OK, INPUT, QUALITY, BUG = 0, 1, 2, 3
 log = logging.getLogger("sievework.pipeline")
@@ -78,14 +78,8 @@ class Halt(Exception):
         self.code = code
 
 
-@retry(attempts=3, base_delay=0.5)
 def _load(spark: SparkSession, path: str, expected):
-    try:
-        return files.read_csv(spark, path, expected)
-    except (InputError, PySparkException):
-        raise
-    except OSError as e:
-        raise TransientError(str(e)) from e
+    return persist_in(lambda: files.read_csv(spark, path, expected), tries=3)
 
 
 class Pipeline:
@@ -131,7 +125,7 @@ class Pipeline:
             self._run(held)
         except Halt as e:
             r.halted_at, r.halt_reason, r.exit_code = self.failed_step, str(e), e.code
-        except (InputError, TransientError) as e:
+        except (InputError, GaveUp) as e:
             r.halted_at, r.halt_reason, r.exit_code = self.failed_step, str(e), INPUT
         except Exception as e:
             log.exception("[%s] halted", r.run_id)
@@ -163,8 +157,8 @@ class Pipeline:
         with self.step("detect_pii", blocking=False) as s:
             found = D.detect(raw, contract, sample=None)
             self._text("reports/pii_detection_report.txt", report.personal_data(found))
-            m["pii_risk"], m["pii_columns"] = found["risk"], found["pii_columns"]
-            s.detail = f"risk {found['risk']}"
+            m["pii_risk"], m["pii_columns"] = found["table"].risk, found["table"].pii_columns
+            s.detail = f"risk {found["table"].risk}"
         with self.step("validate_pre") as s:
             pre = V.validate(raw, contract, PRE, self.as_of)
             m["failures_pre"] = pre.total

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.detect import MASK_FOR, remarks
+
 RULE = "=" * 78
 CHANGES_SHOWN, FAILURES_SHOWN = 45, 40
 
@@ -33,13 +35,13 @@ def quality(facts: dict) -> str:
 
 
 def personal_data(found: dict) -> str:
-    rows = [(c, f.declared, f.pii_type or "-", f.confidence, f.populated, f.sensitivity, f.identifiability) for c, f in found["columns"].items()]
-    hits = [f"{c}: {d}: {h['match_count']} ({h['match_rate']}%), such as {h['example_shape']}" for c, f in found["columns"].items() for d, h in f.content.items()]
-    head = [f"risk {found['risk']}, {found['pii_columns']} columns of personal data, exposure {found['exposure']}, rows {found['rows']}",
-            f"direct identifiers: {', '.join(found['direct']) or 'none'}", f"quasi-identifiers: {', '.join(found['quasi']) or 'none'}"]
+    rows = [(c, f.declared, f.pii_type or "-", f.confidence, f.populated, f.sensitivity, f.identifiability, MASK_FOR.get(f.pii_type, "ask whoever owns it")) for c, f in found["columns"].items()]
+    hits = [f"{c}: {d}: {h.match_count} ({h.match_rate}%), such as {h.example_shape}" for c, f in found["columns"].items() for d, h in f.content.items()]
+    t = found["table"]
+    head = [f"risk {t.risk}, {t.pii_columns} columns of personal data, exposure {t.exposure}, rows {found['rows']}", f"direct identifiers: {t.direct or 'none'}", f"quasi-identifiers: {t.quasi or 'none'}"]
     again = [f"{k}: {v}" for k, v in found["reidentification"].items()] or ["not checked"]
-    return _page("PERSONAL DATA", _section("Summary", head), _section("Columns", _table(rows, ("column", "declared", "type", "confidence", "populated", "sensitivity", "identifies"))),
-                 _section("Content", hits or ["none"]), _section("Flags", [f"{c}: {x}" for c, f in found["columns"].items() for x in f.flags] or ["none"]), _section("Alone in birth year and city", again))
+    return _page("PERSONAL DATA", _section("Summary", head), _section("Columns", _table(rows, ("column", "declared", "type", "confidence", "populated", "sensitivity", "identifies", "mask"))),
+                 _section("Content", hits or ["none"]), _section("Flags", [f"{c}: {x}" for c, f in found["columns"].items() for x in remarks(f)] or ["none"]), _section("Alone in birth year and city", again))
 
 
 def first_rows(df: DataFrame, n: int) -> list:

@@ -374,17 +374,17 @@ def _hits_sql(table: str, column: str) -> str:
 
 @query(_hits_sql("documents", "text"))
 def pii_hits_documents(spark, sf_dir):
-    return D.content_hits(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), ["text"], "doc_id").drop("example_shape")
+    return D.content_hits(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), ["text"], examples=False).drop("example_shape")
 
 
 @query(_hits_sql("conversations", "text"))
 def pii_hits_conversations(spark, sf_dir):
-    return D.content_hits(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "text"), ["text"], "conv_id").drop("example_shape")
+    return D.content_hits(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "text"), ["text"], examples=False).drop("example_shape")
 
 
 @query(_hits_sql("pages", "html"))
 def pii_hits_pages(spark, sf_dir):
-    return D.content_hits(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), ["html"], "page_id").drop("example_shape")
+    return D.content_hits(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), ["html"], examples=False).drop("example_shape")
 
 
 @query("with " + _RAW + " " + " union all ".join(_hits_sql("raw", c) for c in NAMES))
@@ -392,11 +392,55 @@ def pii_hits_customers(spark, sf_dir):
     return D.content_hits(raw_customers(spark, sf_dir), NAMES).drop("example_shape")
 
 
-@query()
+_HINTS = "case " + " ".join("when regexp_matches(lower(\"column\"), '{}') then '{}'".format(p, k) for p, k in D.NAME_HINTS) + " end"
+_PLACE = "list_position([" + ", ".join(f"'{d}'" for d in D.CONTENT) + "], detector)"
+
+
+def _one_of(table: dict, otherwise: str) -> str:
+    return "case pii_type " + " ".join("when '{}' then {}".format(k, repr(v)) for k, v in table.items()) + f" else {otherwise} end"
+
+
+_PROTECTED = "declared in ({})".format(", ".join(f"'{x}'" for x in sorted(D.PROTECTED)))
+_FOUND = "with " + _RAW + ", hits as (" + " union all ".join(_hits_sql("raw", c) for c in NAMES) + f"""),
+rated as (select "column", detector, match_count, {_PLACE} as place, round(100.0::double * match_count / non_blank, 1) as rate from hits where match_count > 0),
+best as (select "column", arg_min(detector, row(-rate, place)) as detector, max(rate) >= {D.SUPPORTS} as supports, sum(match_count)::bigint as matches from rated group by 1),
+about as (select "column", max(non_blank) as populated, {_HINTS} as name_signal, case "column" {" ".join(f"when '{r.name}' then '{r.pii}'" for r in CONTRACT.columns)} end as declared from hits group by 1),
+joined as (select a.*, coalesce(name_signal, b.detector) as pii_type, coalesce(matches, 0) as matches, b.detector is null as nothing,
+  ({_PROTECTED})::int + (name_signal is not null)::int + coalesce(supports, false)::int as votes from about a left join best b using ("column")),
+found as (select "column", declared, name_signal, pii_type, ['none', 'low', 'medium', 'high'][votes + 1] as confidence, populated, matches, {_one_of(D.SENSITIVITY, "0")} as sensitivity,
+  {_one_of(D.IDENTIFIABILITY, "'n/a'")} as identifiability, pii_type is not null and votes > 0 as is_pii, not ({_PROTECTED}) and pii_type is not null as undeclared, {_PROTECTED} and nothing as unmatched,
+  coalesce((select string_agg(r.detector, ',' order by -r.rate, r.place) from rated r where r."column" = joined."column" and name_signal is not null and r.detector <> name_signal and r.rate >= {D.CONTRADICTS}), '') as hidden
+  from joined)"""
+
+
+@query(_FOUND + " select * from found")
 def pii_findings(spark, sf_dir):
-    found = D.detect(raw_customers(spark, sf_dir), CONTRACT, sample=None)
-    rows = [(c, f.declared, f.name_signal, f.pii_type, f.confidence, f.populated, f.sensitivity, f.identifiability, f.is_pii, len(f.flags)) for c, f in found["columns"].items()]
-    return spark.createDataFrame(rows, "column string, declared string, name_signal string, pii_type string, confidence string, populated long, sensitivity int, identifiability string, is_pii boolean, flags int")
+    found = D.findings(raw_customers(spark, sf_dir), CONTRACT)
+    matches = F.aggregate(F.map_values("content"), F.lit(0).cast("long"), lambda n, h: n + h["match_count"]).alias("matches")
+    return found.select(*(c for c in D.FINDING if c not in ("content", "hidden")), matches, F.array_join("hidden", ",").alias("hidden"))
+
+
+_QUASI = "identifiability = 'quasi' or declared in ({})".format(", ".join(f"'{x}'" for x in sorted(D.QUASI)))
+
+
+@query(_FOUND + f""", t as (select (select count(*) from raw) as rows, count(*) filter (where is_pii) as pii_columns,
+coalesce(string_agg("column", ',' order by "column") filter (where is_pii and identifiability = 'direct'), '') as direct, coalesce(string_agg("column", ',' order by "column") filter (where {_QUASI}), '') as quasi,
+coalesce(sum(populated * sensitivity) filter (where is_pii), 0)::bigint as exposure, coalesce(max(sensitivity) filter (where is_pii), 0) as max_sensitivity, count(*) filter (where is_pii and identifiability = 'direct') as n from found)
+select * exclude (n), case when max_sensitivity >= 5 or n >= 3 and rows > 100 then 'HIGH' when max_sensitivity >= 3 or n >= 1 then 'MEDIUM' else 'LOW' end as risk from t""")
+def pii_risk(spark, sf_dir):
+    raw = raw_customers(spark, sf_dir)
+    total = raw.agg(F.count("*").alias("total"))
+    return D.risk(D.findings(raw, CONTRACT).crossJoin(F.broadcast(total)), F.col("total"))
+
+
+def _first_shapes(column: str) -> str:
+    shape = f"regexp_replace(regexp_replace({column}[1:40], '[A-Za-z]', 'x', 'g'), '[0-9]', '9', 'g')"
+    return " union all ".join(f"select '{column}' as \"column\", '{d}' as detector, arg_min({shape}, _row_id) as example_shape from raw where regexp_matches({column}, {_pattern_sql(p)})" for d, p in D.CONTENT.items())
+
+
+@query("with " + _RAW + ", s as (" + " union all ".join(map(_first_shapes, NAMES)) + ") select * from s where example_shape is not null")
+def pii_example_shapes(spark, sf_dir):
+    return D.content_hits(raw_customers(spark, sf_dir), NAMES).where("match_count > 0").select("column", "detector", "example_shape")
 
 
 # --- masking and risk --------------------------------------------------------------------------------------------------

@@ -1,11 +1,12 @@
 """CSV in, CSV, text and JSON out, by any file system that Spark knows.
 
-Rows are read as text only. A row with more fields than the header is an input error; a shorter one is padded with "". _row_id is the order of rows
-in the file (of files by name), held in a wider number so that adding files keeps it.
+Rows are read as text only. A row with more fields than the header is an input error; a shorter one is padded with "". _row_id numbers the rows from 0 on: of
+files by name, in a file by their order.
 """
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Sequence
 
@@ -48,13 +49,17 @@ def read_csv(spark: SparkSession, path: str, expected: Sequence[str] = (), multi
     names = header(spark, path)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, OVERFLOW, CORRUPT]])
     rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", multiline).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("emptyValue", "").option("columnPruning", False).csv(path)
-    # increasing in (partition, row): files are read in the order of their splits; whoever reads more than once should persist
-    rows = rows.withColumn("_row_id", F.monotonically_increasing_id())
-    seen = rows.agg(F.count("*").alias("n"), F.count_if(F.col(CORRUPT).isNull() | F.col(OVERFLOW).isNotNull()).alias("long")).first()
-    if seen.long:
-        raise InputError(f"{path} has {seen.long} rows with more fields than its header")
-    if not seen.n:
+    # Spark packs splits into tasks by size: a row's place in its split is exact, and splits are put in order by name and place
+    rows = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
+    splits = rows.groupBy("__file", "__block").agg(F.count("*").alias("n"), F.min("__at").alias("first"), F.count_if(F.col(CORRUPT).isNull() | F.col(OVERFLOW).isNotNull()).alias("long"))
+    seen = splits.orderBy("__file", "__block").collect()  # a row a split
+    if long := sum(s.long for s in seen):
+        raise InputError(f"{path} has {long} rows with more fields than its header")
+    if not seen:
         raise InputError(f"{path} has a header but no rows")
+    before = [0, *itertools.accumulate(s.n for s in seen)]
+    begins = spark.createDataFrame([(s["__file"], s["__block"], b - s["first"]) for s, b in zip(seen, before)], "__file string, __block long, __shift long")
+    rows = rows.join(F.broadcast(begins), ["__file", "__block"]).withColumn("_row_id", F.col("__at") + F.col("__shift")).drop("__file", "__block", "__at", "__shift")
     absent = sorted(set(expected) - set(names))
     if absent:
         raise InputError(f"{path} lacks columns {absent}")

@@ -6,12 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.contract import POST, PRE, InputError, load_contract, parse
+from sievework.functions import text as T
 from sievework.operators import clean as C
 from sievework.operators import detect as D
 from sievework.operators import mask as M
 from sievework.operators import profile as P
 from sievework.operators import validate as V
-from sievework.plans.retry import TransientError, retry
+from sievework.plans.retry import GaveUp, may_pass, persist_in
 from sievework.streaming import rows as S
 
 CONTRACT = load_contract()
@@ -111,9 +112,10 @@ def test_detection(spark):
     found_ = D.detect(df, CONTRACT)
     f = found_["columns"]
     assert f["email"].confidence == "high" and f["customer_id"].pii_type is None and not f["customer_id"].is_pii
-    assert f["note"].pii_type == "email" and any("UNDECLARED" in x for x in f["note"].flags)
-    assert f["created_date"].pii_type == "date_of_birth" and found_["quasi"] == ["created_date", "date_of_birth", "income"]
-    assert found_["risk"] == "MEDIUM" and D.risk_level(5, 0, 1) == "HIGH" and D.risk_level(0, 3, 101) == "HIGH" and D.risk_level(0, 0, 9) == "LOW"
+    assert f["note"].pii_type == "email" and any("UNDECLARED" in x for x in D.remarks(f["note"])) and D.remarks(f["email"]) == []
+    assert f["created_date"].pii_type == "date_of_birth" and found_["table"].quasi == "created_date,date_of_birth,income"
+    levels = spark.createDataFrame([(5, 0, 1), (0, 3, 101), (0, 3, 100), (3, 0, 1), (0, 0, 9)], "s int, d int, r int").select(D.risk_level(F.col("s"), F.col("d"), F.col("r")).alias("l")).collect()
+    assert found_["table"].risk == "MEDIUM" and [x.l for x in levels] == ["HIGH", "HIGH", "MEDIUM", "MEDIUM", "LOW"]
     assert [D.name_signal(c) for c in ("first_name", "ip_address", "hotel", "xyz")] == ["name", "address", "phone", None]
     assert f["email"].content["email"]["example_shape"] == "xxx@x.xxx"
 
@@ -125,7 +127,7 @@ def test_personal_data_after_row_500_is_found(spark, monkeypatch):
     df = df.withColumn("note", F.when(F.col("_row_id") >= 600, "mail me@x.org").otherwise("plain"))
     monkeypatch.setattr(queries, "raw_customers", lambda spark, sf_dir: df)
     got = {r.column: r for r in queries.pii_findings(spark, "").collect()}["note"]
-    assert got.pii_type == "email" and got.flags == 1 and got.populated == 1200
+    assert got.pii_type == "email" and got.undeclared and got.populated == 1200
     found = D.detect(df, CONTRACT)["columns"]["note"]
     assert found.content["email"]["match_rate"] == 50.0 and found.confidence == "low" and D.detect(df, CONTRACT, sample=500)["columns"]["note"].pii_type is None
 
@@ -168,26 +170,36 @@ def test_contract_errors(tmp_path):
     assert apart.missing == {"a": "flag"} and apart.masking["a"]["method"] == "redact" and apart.expected == ("a",)
 
 
-def test_retry():
+def test_what_may_pass_is_tried_again():
     waits, calls = [], []
 
-    @retry(attempts=3, base_delay=1, max_delay=1.5, sleep=waits.append, jitter=lambda a, b: 0)
-    def flaky():
+    def flaky(error, good_at):
         calls.append(1)
-        raise TransientError("no")
+        if len(calls) < good_at:
+            raise error
+        return "done"
 
-    with pytest.raises(TransientError, match="3 times"):
-        flaky()
-    assert waits == [1, 1.5] and len(calls) == 3
+    assert persist_in(lambda: flaky(ConnectionError("reset"), 3), tries=3, first=1, longest=1.5, wait=waits.append) == "done"
+    assert len(calls) == 3 and 1 <= waits[0] <= 1.25 and 1.5 <= waits[1] <= 1.5 * 1.25
+    calls.clear()
+    with pytest.raises(GaveUp, match="2 tries"):
+        persist_in(lambda: flaky(TimeoutError("late"), 9), tries=2, wait=waits.append)
+    assert len(calls) == 2
+    for error in (InputError("wrong"), FileNotFoundError("gone"), ValueError("no")):
+        calls.clear()
+        with pytest.raises(type(error)):
+            persist_in(lambda: flaky(error, 9), tries=3, wait=waits.append)
+        assert len(calls) == 1
 
-    @retry(attempts=3, sleep=waits.append)
-    def wrong():
-        calls.append(1)
-        raise InputError("wrong")
 
-    with pytest.raises(InputError):
-        wrong()
-    assert len(calls) == 4
+def test_errors_of_spark_are_told_apart(spark):
+    from pyspark.errors import AnalysisException, PySparkException
+
+    with pytest.raises(AnalysisException) as wrong:
+        spark.read.parquet("/nowhere/at/all").count()
+    assert not may_pass(wrong.value)
+    assert may_pass(PySparkException("Job aborted: java.net.SocketTimeoutException: Read timed out")) and may_pass(PySparkException("java.io.IOException: lease lost"))
+    assert not may_pass(PySparkException("java.io.FileNotFoundException: x (java.io.IOException)"))
 
 
 def test_stream_gets_what_a_batch_gets(spark, tmp_path):
@@ -199,3 +211,34 @@ def test_stream_gets_what_a_batch_gets(spark, tmp_path):
     q.stop()
     got = {r.customer_id: r for r in spark.table("std").collect()}
     assert set(got) == {"1", "2"} and got["2"].phone == "200-300-4000" and got["1"]._failures == []
+
+
+def test_the_salt_is_in_no_plan_of_a_stream(spark, tmp_path):
+    df = table(spark, GOOD)
+    df.write.parquet(f"{tmp_path}/in")
+    stream = S.masked(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), CONTRACT, "TOPSECRETKEY")
+    q = stream.writeStream.format("memory").queryName("masked").start()
+    q.processAllAvailable()
+    shown = q._jsq.toString() + stream._jdf.queryExecution().toString() + q._jsq.streamingQuery().explainInternal(True)
+    q.stop()
+    got, want = spark.table("masked").drop("_row_id").collect(), M.mask(df, CONTRACT, "TOPSECRETKEY").drop("_row_id").collect()
+    assert "TOPSECRETKEY" not in shown and [r.asDict() for r in got] == [r.asDict() for r in want]
+
+
+def test_rows_of_a_folder_are_numbered_by_file_name(spark, tmp_path):
+    from sievework.sources import files
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("k,v\n0,x\n")
+    (tmp_path / "in" / "b.csv").write_text("k,v\n" + "".join(f"{i},{'y' * 50}\n" for i in range(1, 30)))
+    (tmp_path / "in" / "c.csv").write_text('k,v\n30,"two\nlines"\n31,z\n')
+    rows, _ = files.read_csv(spark, f"{tmp_path}/in")
+    assert [(r._row_id, r.k) for r in rows.orderBy("_row_id").collect()] == [(i, str(i)) for i in range(32)]
+
+
+def test_a_long_blank_run_is_linear(spark):
+    import time
+
+    df = spark.createDataFrame([("x" + " " * 200_000 + "y",)], "v string")
+    began = time.perf_counter()
+    assert df.select(T.strip(F.col("v")).alias("s")).first().s == "x" + " " * 200_000 + "y" and time.perf_counter() - began < 5
