@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
 U = np.uint64
@@ -22,22 +20,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(base: int, bits: int) -> np.ndarray:
-    out = np.ones(1 << bits, U)
-    m = 1
-    while m < len(out):
-        out[m : 2 * m] = out[:m] * U(pow(base, m, 2**64))
-        m *= 2
+#: Powers that a worker keeps: as many as texts of this many bytes need; longer texts get their own.
+KEPT = 1 << 21
+_HELD: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """At least n powers of base."""
+    out = _HELD.get(base, np.empty(0, U))
+    if len(out) < n:
+        out = np.ones(1 << max(16, (n - 1).bit_length()), U)
+        m = 1
+        while m < len(out):
+            out[m : 2 * m] = out[:m] * U(pow(base, m, 2**64))
+            m *= 2
+        if len(out) <= KEPT:
+            _HELD[base] = out
     return out
 
 
 def prefix_sums(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of TABLE[b[i]] * BASE**-i, and the powers that make a slice's sum independent of where it stands."""
-    bits = max(16, int(len(b)).bit_length())
+    n = max(1, len(b))
     c = np.zeros(len(b) + 1, U)
-    np.cumsum(TABLE[b] * _powers(pow(BASE, -1, 2**64), bits)[: len(b)], out=c[1:])
-    return c, _powers(BASE, bits)
+    np.cumsum(TABLE[b] * _powers(pow(BASE, -1, 2**64), n)[: len(b)], out=c[1:])
+    return c, _powers(BASE, n)
 
 
 def word_spans(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -33,7 +33,7 @@ SHARD_IDS = 1 << 17
 FILES = "part int, place int, begins long, n_ids long, least long, greatest long, doc_ids array<long>, data binary"
 END = 1
 #: Distinct pieces that a worker remembers; then it forgets all and goes on.
-PIECES = 1_000_000
+PIECES = 500_000
 #: New pieces that are kept apart until they are sorted in with the others.
 RECENT = 50_000
 #: Letters-only pieces that are encoded as one text.
