@@ -5,8 +5,10 @@ The queries on customers run on the fixture; AS_OF stands for today.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +20,11 @@ from .functions import normalise as N
 from .functions import text as T
 from .operators import clean as C
 from .operators import detect as D
+from .operators import explore as X
 from .operators import mask as M
 from .operators import profile as P
 from .operators import validate as V
+from .sources import files
 
 AS_OF = date(2025, 8, 1)
 CONTRACT = load_contract()
@@ -163,19 +167,48 @@ def cross_column_checks(spark, sf_dir):
     return P.cross_columns(raw_customers(spark, sf_dir), CONTRACT, AS_OF)
 
 
+# --- exploration -------------------------------------------------------------------------------------------------------
+
+EXPLORED = [r.name for r in CONTRACT.columns if r.type in ("integer", "numeric", "date")]
+_AS_NUMBER = {r.name: f"(try_strptime(trim({r.name}), {_DATES})::date - date '1970-01-01')::double" if r.type == "date" else f"({_NUMBER.format(r.name)})" for r in CONTRACT.columns if r.name in EXPLORED}
+_WIDE = f"{_RAW}, wide as (select " + ", ".join(f"{x} as {c}" for c, x in _AS_NUMBER.items()) + " from raw)"
+_LONG = _WIDE + ", v as (" + " union all ".join(f"select '{c}' as \"column\", {c} as value from wide" for c in EXPLORED) + ")"
+
+
+def _coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.coerced(raw_customers(spark, sf_dir), CONTRACT)
+
+
+@query(f"""with {_LONG} select "column", count(*) as total, count(value) as present, round(avg(value), 4) as mean, round(stddev(value), 4) as std, min(value) as min_value,
+{", ".join(f"quantile_disc(value, {q}) as {name}" for name, q in X.QUANTILES.items())}, max(value) as max_value from v group by 1""")
+def explore_summary(spark, sf_dir):
+    return X.summary(_coerced(spark, sf_dir), EXPLORED)
+
+
+@query(f"""with {_LONG}, e as (select "column", min(value) as lo, max(value) as hi from v group by 1)
+select "column", (case when hi > lo then least(floor((value - lo) / (hi - lo) * 10), 9) else 0 end)::int as bin, count(*) as n from v join e using ("column") where value is not null group by 1, 2""")
+def explore_histogram(spark, sf_dir):
+    return X.histogram(_coerced(spark, sf_dir), EXPLORED)
+
+
+@query(f"with {_WIDE} " + " union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 6) as r from wide" for a, b in combinations(EXPLORED, 2)))
+def explore_correlations(spark, sf_dir):
+    return X.correlations(_coerced(spark, sf_dir), EXPLORED)
+
+
 # --- validation --------------------------------------------------------------------------------------------------------
 
 def _failed(check: str, column: str, when: str, pre: str, post: str, stage: str) -> str:
     return f"select '{check}' as \"check\", '{column}' as \"column\", '{pre if stage == PRE else post}' as severity, count(*) as n from t where {when}"
 
 
-def _failures_sql(stage: str) -> str:
-    """Counts by check and column over a table t of the contract's columns; flags are there after cleaning."""
+def _failures_sql(stage: str, count=_failed) -> str:
+    """Counts by check and column over a table t of the contract's columns; flags are there after cleaning. Another `count` gets the checks of cells alone."""
     gone = f"trim({{}}) in ({_TOKENS})"
     rows = []
     for r in CONTRACT.columns:
         v, there = f"trim({r.name})", f"trim({r.name}) not in ({_TOKENS})"
-        add = lambda check, when, mended=False, r=r: rows.append(_failed(check, r.name, when, "warn" if mended else CONTRACT.severity.get(check), CONTRACT.severity.get(check), stage))
+        add = lambda check, when, mended=False, r=r: rows.append(count(check, r.name, when, "warn" if mended else CONTRACT.severity.get(check), CONTRACT.severity.get(check), stage))
         if r.required:
             flag = f"{r.name}_missing" if stage == POST and CONTRACT.missing[r.name] == "flag" else "false"
             add("required_missing_recorded", f"{gone.format(r.name)} and {flag}")
@@ -188,6 +221,8 @@ def _failures_sql(stage: str) -> str:
         elif r.type == "date":
             d = f"try_strptime({v}, '%Y-%m-%d')::date"
             add("type_invalid", f"{there} and {d} is null", True)
+            if count is not _failed:
+                continue
             old = f"(date '{AS_OF}' - {d}) / 365.25::double"
             parts = [f"(case when {d} > date '{AS_OF}' then 1 else 0 end)"]
             if r.max_age_years is not None:
@@ -203,6 +238,8 @@ def _failures_sql(stage: str) -> str:
                 add("length_invalid", f"{there} and (length({v}) < {r.min_length} or length({v}) > {r.max_length})", True)
             if r.alphabetic:
                 add("alphabetic_invalid", f"{there} and not regexp_matches(replace(replace({v}, ' ', ''), '-', ''), '^\\p{{L}}+$')", True)
+    if count is not _failed:
+        return " union all ".join(filter(None, rows))
     rows.append(_failed("cross_field_invalid", "date_of_birth", "try_strptime(trim(date_of_birth), '%Y-%m-%d') > try_strptime(trim(created_date), '%Y-%m-%d')", "quarantine", "quarantine", stage))
     columns = NAMES + ([f"{c}_missing" for c, how in CONTRACT.missing.items() if how == "flag"] if stage == POST else [])
     rows.append(f"select 'duplicate_row' as \"check\", null as \"column\", 'warn' as severity, case when count(*) < sum(n) then 1 else 0 end as n from (select count(*) as n from t group by {', '.join(columns)})")
@@ -248,6 +285,21 @@ _CLEAN = _clean_sql()
 _BY = 'select "check", "column", severity, n from f where n > 0'
 
 
+def _shape_of(check: str, column: str, when: str, pre: str, post: str, stage: str) -> str:
+    shape = f"regexp_replace(regexp_replace(trim({column})[1:24], '\\p{{L}}', 'x', 'g'), '[0-9]', '9', 'g')"
+    return f"select _row_id::bigint as row_index, '{check}' as \"check\", '{column}' as \"column\", {shape} as value_shape from t where {when}" if check in SHAPED else ""
+
+
+#: Checks whose failures show the shape of the value.
+SHAPED = ("type_invalid", "category_invalid", "format_invalid", "alphabetic_invalid")
+
+
+@query(f"with {_RAW}, t as (select * from raw) {_failures_sql(PRE, _shape_of)}")
+def failure_shapes_pre(spark, sf_dir):
+    found = V.row_failures(raw_customers(spark, sf_dir), CONTRACT, PRE, AS_OF)
+    return found.where("value_shape is not null").select("row_index", "check", "column", "value_shape")
+
+
 def _counts(found: DataFrame) -> DataFrame:
     return found.groupBy("check", "column", "severity").agg(F.count("*").alias("n"))
 
@@ -510,3 +562,14 @@ def residual_k_customer(spark, sf_dir):
 @query("select c_custkey, regexp_replace(regexp_replace(c_name, '[A-Za-z]', 'x', 'g'), '[0-9]', '9', 'g')[1:24] as shape from customer")
 def value_shape(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", T.shape(F.col("c_name")).alias("shape"))
+
+
+# --- files -------------------------------------------------------------------------------------------------------------
+
+@query(f"with {_RAW} select row_number() over (order by _row_id) - 1 as _row_id, {', '.join(NAMES)} from raw")
+def csv_round_trip(spark, sf_dir):
+    """Written as parts in the order of rows and read again, cell by cell as they were."""
+    rows = raw_customers(spark, sf_dir).select(V.ROW_ID, *NAMES).repartitionByRange(V.ROW_ID)
+    path = f"{files.shared_dir(spark)}/customers-{uuid.uuid4().hex}.csv"
+    files.write_csv(rows, path, order=V.ROW_ID)
+    return files.read_csv(spark, path, NAMES)[0].select(F.col(V.ROW_ID).cast("long").alias(V.ROW_ID), *NAMES)

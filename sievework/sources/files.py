@@ -7,6 +7,7 @@ files by name, in a file by their order.
 from __future__ import annotations
 
 import itertools
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..contract import InputError
+from ..functions import text
 
 OVERFLOW, CORRUPT = "__overflow", "__corrupt"
 
@@ -24,6 +26,14 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all machines see; a folder of this machine only where Spark runs on no other."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return found or f"file://{tempfile.mkdtemp(prefix='sievework-')}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, at = _fs(spark, path)
     return fs.exists(at)
@@ -69,13 +79,11 @@ def read_csv(spark: SparkSession, path: str, expected: Sequence[str] = (), multi
 
 def coerced(df: DataFrame, contract) -> DataFrame:
     """For exploration: declared numbers and dates as such, what doesn't fit as null."""
-    from ..functions import text as X
-
-    kinds = {r.name: X.number(F.col(r.name)) if r.type in ("integer", "numeric") else X.any_date(F.col(r.name)) for r in contract.columns if r.type in ("integer", "numeric", "date") and r.name in df.columns}
+    kinds = {r.name: text.number(F.col(r.name)) if r.type in ("integer", "numeric") else text.any_date(F.col(r.name)) for r in contract.columns if r.type in ("integer", "numeric", "date") and r.name in df.columns}
     return df.withColumns(kinds)
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_text(spark: SparkSession, path: str, content: str) -> None:
     """To a file beside, then renamed, so that no reader sees half of it."""
     fs, at = _fs(spark, path)
     beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
@@ -83,7 +91,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         fs.mkdirs(at.getParent())
     out = fs.create(beside, True)
     try:
-        out.write(bytearray(text.encode("utf-8")))
+        out.write(bytearray(content.encode("utf-8")))
     finally:
         out.close()
     _replace(fs, beside, at)
@@ -102,7 +110,8 @@ def write_csv(df: DataFrame, path: str, single: bool = False, order: str | None
     beside = f"{path}.{uuid.uuid4().hex}.tmp"
     rows = df.coalesce(1) if single else df
     rows = rows.sortWithinPartitions(order).drop(order) if order else rows
-    rows.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(beside)
+    # by default Spark's writer strips cells
+    rows.write.option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(beside)
     _replace(fs, df.sparkSession._jvm.org.apache.hadoop.fs.Path(beside), at)
 
 

@@ -9,10 +9,12 @@ from sievework.contract import POST, PRE, InputError, load_contract, parse
 from sievework.functions import text as T
 from sievework.operators import clean as C
 from sievework.operators import detect as D
+from sievework.operators import explore as X
 from sievework.operators import mask as M
 from sievework.operators import profile as P
 from sievework.operators import validate as V
 from sievework.plans.retry import GaveUp, may_pass, persist_in
+from sievework.sources import files
 from sievework.streaming import rows as S
 
 CONTRACT = load_contract()
@@ -242,3 +244,32 @@ def test_a_long_blank_run_is_linear(spark):
     df = spark.createDataFrame([("x" + " " * 200_000 + "y",)], "v string")
     began = time.perf_counter()
     assert df.select(T.strip(F.col("v")).alias("s")).first().s == "x" + " " * 200_000 + "y" and time.perf_counter() - began < 5
+
+
+def test_failures_keep_their_shapes_and_rows_without_any_give_none(spark):
+    df = table(spark, GOOD, changed(email="not mail 7", phone="5"), changed(income="abc"))
+    shapes = {(r.row_index, r["column"]): r.value_shape for r in V.row_failures(df, CONTRACT, PRE, AS_OF).collect()}
+    assert shapes == {(1, "email"): "xxx xxxx 9", (1, "phone"): "9", (2, "income"): "xxx"}
+
+
+def test_explored_numbers_and_dates(spark):
+    df = spark.createDataFrame([(1.0, date(1970, 1, 2), None), (2.0, date(1970, 1, 3), None), (None, date(1970, 1, 4), None), (4.0, None, None)], "a double, d date, empty double")
+    got = {r["column"]: r for r in X.summary(df, ["a", "d", "empty"]).collect()}
+    a = got["a"]
+    assert (a.total, a.present, a.mean, a.min_value, a.median, a.max_value) == (4, 3, 2.3333, 1.0, 2.0, 4.0)
+    assert (got["d"].min_value, got["d"].max_value, got["empty"].present, got["empty"].median) == (1.0, 3.0, 0, None)
+    bins = {(r["column"], r.bin): r.n for r in X.histogram(df, ["a", "d", "empty"], bins=3).collect()}
+    assert bins == {("a", 0): 1, ("a", 1): 1, ("a", 2): 1, ("d", 0): 1, ("d", 1): 1, ("d", 2): 1}
+    r = {(x.a, x.b): x.r for x in X.correlations(df, ["a", "d", "empty"]).collect()}
+    assert r[("a", "d")] == 1.0 and r[("a", "empty")] is None
+    same = spark.createDataFrame([(5.0,), (5.0,)], "a double")
+    assert [(x.bin, x.n) for x in X.histogram(same, ["a"]).collect()] == [(0, 2)]
+    assert X.histogram(df.limit(0), ["a"]).count() == 0
+
+
+def test_cells_come_back_from_csv_as_they_were(spark, tmp_path):
+    cells = ["  padded ", 'a "quoted" one', "two\nlines", "a,b", "", "back\\slash", "\ttab"]
+    df = spark.createDataFrame([(i, c, str(i)) for i, c in enumerate(cells)], "_row_id long, cell string, n string").repartitionByRange(3, "_row_id")
+    files.write_csv(df, f"file://{tmp_path}/t.csv", order="_row_id")
+    back = files.read_csv(spark, f"file://{tmp_path}/t.csv")[0]
+    assert [(r._row_id, r.cell) for r in back.orderBy("_row_id").collect()] == list(enumerate(cells))
