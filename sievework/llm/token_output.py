@@ -33,7 +33,7 @@ SHARD_IDS = 1 << 17
 FILES = "part int, place int, begins long, n_ids long, least long, greatest long, doc_ids array<long>, data binary"
 END = 1
 #: Distinct pieces that a worker remembers; then it forgets all and goes on.
-PIECES = 500_000
+PIECES = 1_000_000
 #: New pieces that are kept apart until they are sorted in with the others.
 RECENT = 50_000
 #: Letters-only pieces that are encoded as one text.
@@ -85,7 +85,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known = (np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))  # hash, length, offset, ids
+        self.known = (np.empty(0, U), *(np.empty(0, np.uint32) for _ in range(3)))  # hash, length, offset, ids
         self.recent = self.known
         self.ids, self.used = np.empty(1 << 20, self.kind), 0
 
@@ -161,7 +161,7 @@ class Encoder:
                 self.ids = np.concatenate((self.ids, np.empty(max(len(self.ids), len(more)), self.kind)))
             self.ids[self.used : self.used + len(more)] = more
             self.used += len(more)
-            self.recent = self._merge(self.recent, (u[todo], length[todo], place[todo], amount[todo]))
+            self.recent = self._merge(self.recent, (u[todo], *(x[todo].astype(np.uint32) for x in (length, place, amount))))
             if len(self.recent[0]) > RECENT:
                 self.known, self.recent = self._merge(self.known, self.recent), tuple(x[:0] for x in self.recent)
         which = np.empty(len(h), np.int64)
