@@ -92,16 +92,20 @@ def with_failures(df: DataFrame, contract: Contract, stage: str, as_of: Date) ->
     return parsed.select(*df.columns, array.cast(FAILURE).alias("_failures"))
 
 
+def _flat(rows: DataFrame) -> DataFrame:
+    return rows.select("f.check", "f.column", "f.severity", "f.message", F.col(ROW_ID).cast("long").alias("row_index"), "f.value_shape")
+
+
 def row_failures(df: DataFrame, contract: Contract, stage: str, as_of: Date) -> DataFrame:
     """One row a failure of a row: check, column, severity, message, row_index, value_shape."""
-    # a plain explode would have Catalyst infer a filter on the array and push it down with all rules written out again
-    rows = with_failures(df, contract, stage, as_of).select(F.col(ROW_ID).alias("row_index"), F.explode_outer("_failures").alias("f")).where("f is not null")
-    return rows.select("f.check", "f.column", "f.severity", "f.message", F.col("row_index").cast("long").alias("row_index"), "f.value_shape")
+    # a plain explode has Catalyst infer a filter on the array and push it down with all rules written out again
+    return _flat(with_failures(df, contract, stage, as_of).select(ROW_ID, F.explode_outer("_failures").alias("f")).where("f is not null"))
 
 
 def failures(df: DataFrame, contract: Contract, stage: str, as_of: Date) -> DataFrame:
     """Failures of rows, and of the dataset, which have no row_index."""
-    return row_failures(df, contract, stage, as_of).unionByName(dataset_failures(df, contract, stage))
+    rows = _flat(with_failures(df, contract, stage, as_of).select(ROW_ID, F.explode("_failures").alias("f")))
+    return rows.unionByName(dataset_failures(df, contract, stage))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
