@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.contract import POST, PRE, InputError, load_contract, parse
+from sievework.fixture import raw_customers
 from sievework.functions import text as T
 from sievework.operators import clean as C
 from sievework.operators import detect as D
@@ -273,3 +274,12 @@ def test_cells_come_back_from_csv_as_they_were(spark, tmp_path):
     files.write_csv(df, f"file://{tmp_path}/t.csv", order="_row_id")
     back = files.read_csv(spark, f"file://{tmp_path}/t.csv")[0]
     assert [(r._row_id, r.cell) for r in back.orderBy("_row_id").collect()] == list(enumerate(cells))
+
+
+def test_keys_whose_products_pass_32_bits_make_rows(spark, tmp_path):
+    keys = [271177, 271178, 899996, 15700001, 2000000008]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    df = raw_customers(spark, str(tmp_path))
+    assert df.schema["_row_id"].dataType.simpleString() == "int"
+    digits = {r._row_id: "".join(c for c in r.phone if c.isdigit()) for r in df.collect()}
+    assert digits == {k: f"{200 + k * 37 % 800}{k * 91 % 1000:03d}{k * 7919 % 10000:04d}" for k in keys}
