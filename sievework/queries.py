@@ -412,7 +412,7 @@ def change_counts(spark, sf_dir):
 # --- detection ---------------------------------------------------------------------------------------------------------
 
 def _pattern_sql(p: str) -> str:
-    """The Unicode classes that (?U) gives in Spark, spelled out; \\b stays, as the texts' edges are ASCII but for letters."""
+    """The Unicode classes that (?U) gives in Spark, spelled out; \\b stays and is ASCII in SQL, which takes `st` in `212 das üst` for a word, as Spark and Python don't."""
     flags = "i" if p.startswith("(?Ui)") else ""
     for a in ("(?Ui)", "(?U)"):
         p = p.removeprefix(a)

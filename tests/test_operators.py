@@ -283,3 +283,8 @@ def test_keys_whose_products_pass_32_bits_make_rows(spark, tmp_path):
     assert df.schema["_row_id"].dataType.simpleString() == "int"
     digits = {r._row_id: "".join(c for c in r.phone if c.isdigit()) for r in df.collect()}
     assert digits == {k: f"{200 + k * 37 % 800}{k * 91 % 1000:03d}{k * 7919 % 10000:04d}" for k in keys}
+
+
+def test_a_street_type_within_a_word_is_no_address(spark):
+    df = spark.createDataFrame([(0, "212 das üst"), (1, "212 das st")], "_row_id long, t string")
+    assert {r.detector: r.match_count for r in D.content_hits(df, ["t"]).collect()}["address"] == 1
